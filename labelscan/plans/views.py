@@ -22,17 +22,17 @@ SELECT cast(k AS string) AS product_id,
   CASE WHEN k % 23 = 0 THEN NULL WHEN k % 29 = 0 THEN '7' ELSE p_name END AS product_name,
   CASE WHEN p_type = 'ECONOMY' THEN 'food' WHEN p_type = 'PROMO' THEN 'cosmetics' ELSE 'general' END AS product_type,
   CASE WHEN k % 7 = 0 THEN true WHEN k % 11 = 0 THEN NULL ELSE false END AS is_imported,
-  CASE WHEN k % 13 = 0 THEN NULL WHEN k % 17 = 0 THEN 'MRP on pack' WHEN k % 5 = 0 THEN concat('Rs. ', price)
-    WHEN k % 31 = 0 THEN concat('₹', price, ' (Rs 0.50/g) incl. of all taxes')
-    ELSE concat('MRP Rs. ', price, ' (incl. of all taxes)') END AS mrp,
+  CASE WHEN k % 13 = 0 THEN NULL WHEN k % 17 = 0 THEN 'MRP on pack' WHEN k % 5 = 0 THEN ('Rs. ' || price)
+    WHEN k % 31 = 0 THEN ('₹' || price || ' (Rs 0.50/g) incl. of all taxes')
+    ELSE ('MRP Rs. ' || price || ' (incl. of all taxes)') END AS mrp,
   CASE WHEN k % 19 = 0 THEN NULL WHEN k % 37 = 0 THEN 'a few'
-    ELSE concat(cast(p_size AS string), ' ', CASE k % 6 WHEN 0 THEN 'kg' WHEN 1 THEN 'ml' WHEN 2 THEN 'N'
+    ELSE (cast(p_size AS string) || ' ' || CASE k % 6 WHEN 0 THEN 'kg' WHEN 1 THEN 'ml' WHEN 2 THEN 'N'
       WHEN 3 THEN 'sq m' WHEN 4 THEN 'furlong' ELSE 'g' END) END AS net_quantity,
   CASE WHEN k % 41 = 0 THEN NULL ELSE s_name END AS manufacturer_name,
   CASE WHEN k % 14 = 0 THEN NULL WHEN k % 4 = 1 THEN 'Plot 4, Sector 63, Noida'
     ELSE 'Plot 4, Sector 63, Noida - 201301' END AS manufacturer_address,
   CASE WHEN k % 43 = 0 THEN s_name ELSE NULL END AS packer_name,
-  CASE WHEN k % 3 = 0 THEN concat(s_name, ' Imports') ELSE NULL END AS importer_name,
+  CASE WHEN k % 3 = 0 THEN (s_name || ' Imports') ELSE NULL END AS importer_name,
   CASE WHEN k % 14 = 0 THEN NULL ELSE cast(k % 14 AS string) END AS month_of_packing,
   CASE WHEN k % 53 = 0 THEN NULL WHEN k % 2 = 0 THEN '26' ELSE '2026' END AS year_of_packing,
   CASE WHEN k % 15 = 0 THEN NULL WHEN k % 8 = 3 THEN 'write to us' WHEN k % 2 = 0 THEN 'care@brand.example'
@@ -64,11 +64,11 @@ FROM {lineitem} GROUP BY l_orderkey
 """
 
 VIEWS["scans_v"] = """
-SELECT concat('scan-', cast(o.o_orderkey AS string)) AS scan_id, cast(o.o_custkey AS string) AS user_id,
+SELECT ('scan-' || cast(o.o_orderkey AS string)) AS scan_id, cast(o.o_custkey AS string) AS user_id,
   cast(o.o_orderdate AS timestamp) AS ts,
   CASE o.o_orderstatus WHEN 'O' THEN 'COMPLIANT' WHEN 'F' THEN 'NON_COMPLIANT' ELSE 'PARTIAL' END AS compliance_status,
   p.p_name AS product_name, s.s_name AS manufacturer,
-  concat('B', cast(o.o_orderkey AS string)) AS batch_number, o.o_orderkey AS scan_key
+  ('B' || cast(o.o_orderkey AS string)) AS batch_number, o.o_orderkey AS scan_key
 FROM {orders} o
 LEFT JOIN {order_heads_v} h ON h.l_orderkey = o.o_orderkey
 LEFT JOIN {part} p ON p.p_partkey = h.head_part
@@ -76,7 +76,7 @@ LEFT JOIN {supplier} s ON s.s_suppkey = h.head_supplier
 """
 
 VIEWS["scan_core_v"] = """
-SELECT concat('scan-', cast(o_orderkey AS string)) AS scan_id, cast(o_custkey AS string) AS user_id,
+SELECT ('scan-' || cast(o_orderkey AS string)) AS scan_id, cast(o_custkey AS string) AS user_id,
   cast(o_orderdate AS timestamp) AS ts,
   CASE o_orderstatus WHEN 'O' THEN 'COMPLIANT' WHEN 'F' THEN 'NON_COMPLIANT' ELSE 'PARTIAL' END AS compliance_status,
   o_orderkey AS scan_key
@@ -84,14 +84,14 @@ FROM {orders}
 """
 
 VIEWS["violations_v"] = """
-SELECT concat('scan-', cast(l.l_orderkey AS string)) AS scan_id,
+SELECT ('scan-' || cast(l.l_orderkey AS string)) AS scan_id,
   CASE l.l_linenumber WHEN 1 THEN 'mrp' WHEN 2 THEN 'netQuantity' WHEN 3 THEN 'fontSizeMm' WHEN 4 THEN 'readability'
     WHEN 5 THEN 'unitSalePrice' WHEN 6 THEN 'consumerCare' ELSE 'net_quantity' END AS field,
   CASE l.l_linenumber WHEN 1 THEN 'Maximum Retail Price (MRP) Declaration Check' WHEN 2 THEN 'Net Quantity Declaration Check'
     WHEN 3 THEN 'Font Size & Readability Analysis Check' WHEN 4 THEN 'Physical Legibility & Color Contrast Check'
     WHEN 5 THEN 'Unit Sale Price (USP) Declaration Check' WHEN 6 THEN 'Consumer Care Details Declaration Check'
     ELSE 'Net Quantity Declaration Check' END AS rule,
-  concat('Check line ', cast(l.l_linenumber AS string), '.') AS description,
+  ('Check line ' || cast(l.l_linenumber AS string) || '.') AS description,
   l.l_linenumber AS line_number, l.l_partkey AS part_key, l.l_extendedprice AS price
 FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey
 WHERE o.o_orderstatus IN ('F', 'P')
@@ -126,17 +126,17 @@ _SCALED = "(((product_key * 7 + image_idx * 29) % 60) + 40)"
 # one row per (scan, image) with the merge inputs as columns
 VIEWS["image_values_v"] = f"""
 SELECT product_id AS scan_id, product_key AS scan_key, image_idx,
-  concat('img', cast(image_idx AS string), '.jpg') AS file_name,
+  ('img' || cast(image_idx AS string) || '.jpg') AS file_name,
   CASE WHEN product_key % 9 = 0 AND image_idx = 2 THEN NULL
-    WHEN product_key % 10 = 0 AND image_idx = 1 THEN concat(mrp, ' X') ELSE mrp END AS mrp,
+    WHEN product_key % 10 = 0 AND image_idx = 1 THEN (mrp || ' X') ELSE mrp END AS mrp,
   CASE WHEN product_key % 8 = 0 AND image_idx = 2 THEN NULL
-    WHEN product_key % 12 = 0 AND image_idx = 1 THEN concat(net_quantity, ' net') ELSE net_quantity END AS net_quantity,
-  CASE WHEN product_key % 15 = 0 AND image_idx = 1 THEN concat(manufacturer_name, ' Ltd') ELSE upper(manufacturer_name) END AS manufacturer_name,
+    WHEN product_key % 12 = 0 AND image_idx = 1 THEN (net_quantity || ' net') ELSE net_quantity END AS net_quantity,
+  CASE WHEN product_key % 15 = 0 AND image_idx = 1 THEN (manufacturer_name || ' Ltd') ELSE upper(manufacturer_name) END AS manufacturer_name,
   CASE WHEN product_key % 21 = 0 AND image_idx = 1 THEN '12' ELSE month_of_packing END AS month_of_packing,
   year_of_packing, consumer_care, country_of_origin, unit_sale_price,
-  CASE WHEN product_key % 6 = 0 AND image_idx = 0 THEN concat('B', product_id)
-    WHEN product_key % 6 = 0 AND image_idx = 1 THEN concat('C', product_id) ELSE NULL END AS batch_number,
-  CASE WHEN product_key % 18 = 0 AND image_idx = 1 THEN concat(product_name, ' tested') ELSE product_name END AS product_name,
+  CASE WHEN product_key % 6 = 0 AND image_idx = 0 THEN ('B' || product_id)
+    WHEN product_key % 6 = 0 AND image_idx = 1 THEN ('C' || product_id) ELSE NULL END AS batch_number,
+  CASE WHEN product_key % 18 = 0 AND image_idx = 1 THEN (product_name || ' tested') ELSE product_name END AS product_name,
   CASE WHEN product_key % 50 = 0 THEN 0.75 ELSE {_SCALED} / cast(100 AS double) END AS mean_conf,
   CASE WHEN (product_key + image_idx) % 2 = 0 THEN 'MRP Net Qty Mfd by Batch No Consumer Care Country of Origin'
     ELSE 'plain text of the label' END AS full_text
@@ -165,32 +165,32 @@ SELECT scan_id, image_idx, block_idx, text,
 FROM (
   SELECT product_id AS scan_id, product_key AS k, image_idx, b.block_idx, b.line,
     CASE b.block_idx
-      WHEN 0 THEN CASE WHEN k3 = 0 THEN concat('Generic Name: ', product_name) WHEN k3 = 1 THEN product_name
-        ELSE concat('Gold ', product_name) END
-      WHEN 1 THEN CASE WHEN odd = 1 THEN 'Net Quantity' ELSE concat('Net Qty: ', qty) END
+      WHEN 0 THEN CASE WHEN k3 = 0 THEN ('Generic Name: ' || product_name) WHEN k3 = 1 THEN product_name
+        ELSE ('Gold ' || product_name) END
+      WHEN 1 THEN CASE WHEN odd = 1 THEN 'Net Quantity' ELSE ('Net Qty: ' || qty) END
       WHEN 2 THEN CASE WHEN odd = 1 THEN qty ELSE NULL END
       WHEN 3 THEN CASE WHEN product_key % 25 = 0 THEN 'MRP' WHEN odd = 1 THEN 'Maximum Retail Price'
-        ELSE concat('MRP Rs. ', price, ' (incl. of all taxes)') END
-      WHEN 4 THEN CASE WHEN product_key % 25 = 0 THEN '250ml' WHEN odd = 1 THEN concat('Rs. ', price) ELSE NULL END
-      WHEN 5 THEN concat('Mfg by ', coalesce(manufacturer_name, 'Unknown'), ' Foods Pvt Ltd')
+        ELSE ('MRP Rs. ' || price || ' (incl. of all taxes)') END
+      WHEN 4 THEN CASE WHEN product_key % 25 = 0 THEN '250ml' WHEN odd = 1 THEN ('Rs. ' || price) ELSE NULL END
+      WHEN 5 THEN ('Mfg by ' || coalesce(manufacturer_name, 'Unknown') || ' Foods Pvt Ltd')
       WHEN 6 THEN 'Plot 4, Sector 63, Noida - 201301'
-      WHEN 7 THEN CASE WHEN odd = 1 THEN 'Mfg Date' ELSE concat('DOM: ', mm, '/2026') END
-      WHEN 8 THEN CASE WHEN odd = 1 THEN concat(mm, '/2026') ELSE NULL END
-      WHEN 9 THEN concat('Best Before ', mm, '/2027')
-      WHEN 10 THEN CASE WHEN product_key % 4 = 0 THEN 'Batch No' ELSE concat('Batch No: B', product_id) END
-      WHEN 11 THEN CASE WHEN product_key % 4 = 0 THEN concat('B', product_id, 'X') ELSE NULL END
+      WHEN 7 THEN CASE WHEN odd = 1 THEN 'Mfg Date' ELSE ('DOM: ' || mm || '/2026') END
+      WHEN 8 THEN CASE WHEN odd = 1 THEN (mm || '/2026') ELSE NULL END
+      WHEN 9 THEN ('Best Before ' || mm || '/2027')
+      WHEN 10 THEN CASE WHEN product_key % 4 = 0 THEN 'Batch No' ELSE ('Batch No: B' || product_id) END
+      WHEN 11 THEN CASE WHEN product_key % 4 = 0 THEN ('B' || product_id || 'X') ELSE NULL END
       WHEN 12 THEN 'Consumer Care: 1800-100-1000, care@brand.example'
       WHEN 13 THEN CASE WHEN product_key % 3 = 0 THEN 'Country of Origin' ELSE 'Product of India' END
       WHEN 14 THEN CASE WHEN product_key % 3 = 0 THEN 'India' ELSE NULL END
-      WHEN 15 THEN CASE WHEN product_key % 3 = 1 THEN concat('Imported by ', coalesce(manufacturer_name, 'Unknown'), ' Imports Ltd') ELSE NULL END
-      WHEN 16 THEN CASE WHEN product_key % 4 = 1 THEN concat('Unit Sale Price: Rs. ', price, '/kg') ELSE NULL END
+      WHEN 15 THEN CASE WHEN product_key % 3 = 1 THEN ('Imported by ' || coalesce(manufacturer_name, 'Unknown') || ' Imports Ltd') ELSE NULL END
+      WHEN 16 THEN CASE WHEN product_key % 4 = 1 THEN ('Unit Sale Price: Rs. ' || price || '/kg') ELSE NULL END
     END AS text,
     b.b_left, 30 * b.line AS b_top, b.b_right, 30 * b.line + 20 AS b_bottom
   FROM (
     SELECT i.*, product_key % 2 AS odd, product_key % 3 AS k3,
-      concat(cast(cast(product_key % 500 + 20 AS int) AS string), ' ', CASE product_key % 3 WHEN 0 THEN 'g' WHEN 1 THEN 'ml' ELSE 'kg' END) AS qty,
-      concat(cast(cast(product_key % 900 + 10 AS int) AS string), '.50') AS price,
-      CASE WHEN product_key % 12 + 1 < 10 THEN concat('0', cast(cast(product_key % 12 + 1 AS int) AS string))
+      (cast(cast(product_key % 500 + 20 AS int) AS string) || ' ' || CASE product_key % 3 WHEN 0 THEN 'g' WHEN 1 THEN 'ml' ELSE 'kg' END) AS qty,
+      (cast(cast(product_key % 900 + 10 AS int) AS string) || '.50') AS price,
+      CASE WHEN product_key % 12 + 1 < 10 THEN ('0' || cast(cast(product_key % 12 + 1 AS int) AS string))
         ELSE cast(cast(product_key % 12 + 1 AS int) AS string) END AS mm
     FROM {images_v} i
   ) t CROSS JOIN (
