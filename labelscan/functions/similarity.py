@@ -10,6 +10,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelscan.functions import vocab as V
 
@@ -23,7 +24,7 @@ def _per_distinct(values: pd.Series, fn) -> pd.Series:
     return values.map(known, na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of two text columns; null when either is null."""
     seen: dict = {}
@@ -56,7 +57,7 @@ VARIANTS = [(c, compact_form(v)) for c, vs in V.CANONICAL_LABELS.items() for v i
 LONG_VARIANTS = [(c, v) for c, v in VARIANTS if len(v) >= V.LABEL_FUZZY_LENGTH]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fuzzy_label(compact: pd.Series) -> pd.Series:
     return _per_distinct(compact, closest_label).astype(object)
 
@@ -70,7 +71,7 @@ def closest_country(value: str) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fuzzy_country(value: pd.Series) -> pd.Series:
     return _per_distinct(value, closest_country).astype(object)
 
@@ -83,7 +84,7 @@ def statutory_target(word: str) -> str | None:
     return None
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def first_statutory_word(words: pd.Series) -> pd.Series:
     """Position (0-based) of the first word of an array that resembles a target, else null."""
     known: dict[str, bool] = {}
@@ -106,7 +107,7 @@ def header_like(token: str) -> bool:
     return len(token) >= 5 and any(ratio(token, w) >= V.NAME_HEADER_RATIO for w in V.NAME_HEADER_WORDS)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def any_header_word(tokens: pd.Series) -> pd.Series:
     known: dict[str, bool] = {}
 

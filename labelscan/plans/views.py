@@ -118,7 +118,7 @@ SELECT event_id AS image_id, value AS blur_score, cast((event_id * 37) % 256 AS
 # images 0..2 of every product
 VIEWS["images_v"] = """
 SELECT p.*, i.image_idx FROM {products_v} p
-CROSS JOIN (SELECT 0 AS image_idx UNION ALL SELECT 1 UNION ALL SELECT 2) i
+[[i(image_idx): (0), (1), (2)]]
 """
 
 _SCALED = "(((product_key * 7 + image_idx * 29) % 60) + 40)"
@@ -150,10 +150,8 @@ SELECT scan_id, image_idx, file_name, mean_conf, full_text, f.field,
     WHEN 'consumerCare' THEN consumer_care WHEN 'countryOfOrigin' THEN country_of_origin
     WHEN 'unitSalePrice' THEN unit_sale_price WHEN 'batchNumber' THEN batch_number
     WHEN 'productName' THEN product_name ELSE 'false' END AS value
-FROM {image_values_v} CROSS JOIN (SELECT 'mrp' AS field UNION ALL SELECT 'netQuantity' UNION ALL SELECT 'manufacturerName'
-  UNION ALL SELECT 'monthOfPacking' UNION ALL SELECT 'yearOfPacking' UNION ALL SELECT 'consumerCare'
-  UNION ALL SELECT 'countryOfOrigin' UNION ALL SELECT 'unitSalePrice' UNION ALL SELECT 'batchNumber'
-  UNION ALL SELECT 'productName' UNION ALL SELECT 'isImported') f
+FROM {image_values_v} [[f(field): ('mrp'), ('netQuantity'), ('manufacturerName'), ('monthOfPacking'), ('yearOfPacking'),
+  ('consumerCare'), ('countryOfOrigin'), ('unitSalePrice'), ('batchNumber'), ('productName'), ('isImported')]]
 """
 
 # template lines of a label: one row per block
@@ -161,7 +159,7 @@ VIEWS["ocr_blocks_v"] = """
 SELECT scan_id, image_idx, block_idx, text,
   CASE WHEN (k + line) % 41 = 0 THEN 0.05
     ELSE ((k * 7 + image_idx * 29 + line) % 60 + 40) / cast(100 AS double) END AS confidence,
-  b_left AS left, b_top AS top, b_right AS right, b_bottom AS bottom
+  b_left AS x_min, b_top AS y_min, b_right AS x_max, b_bottom AS y_max
 FROM (
   SELECT product_id AS scan_id, product_key AS k, image_idx, b.block_idx, b.line,
     CASE b.block_idx
@@ -193,21 +191,17 @@ FROM (
       CASE WHEN product_key % 12 + 1 < 10 THEN ('0' || cast(cast(product_key % 12 + 1 AS int) AS string))
         ELSE cast(cast(product_key % 12 + 1 AS int) AS string) END AS mm
     FROM {images_v} i
-  ) t CROSS JOIN (
-    SELECT 0 AS block_idx, 0 AS line, 20 AS b_left, 220 AS b_right UNION ALL
-    SELECT 1, 1, 20, 160 UNION ALL SELECT 2, 1, 180, 260 UNION ALL
-    SELECT 3, 2, 20, 160 UNION ALL SELECT 4, 2, 180, 260 UNION ALL
-    SELECT 5, 3, 20, 320 UNION ALL SELECT 6, 4, 20, 320 UNION ALL
-    SELECT 7, 5, 20, 160 UNION ALL SELECT 8, 5, 180, 260 UNION ALL
-    SELECT 9, 6, 20, 220 UNION ALL SELECT 10, 7, 20, 120 UNION ALL SELECT 11, 7, 140, 260 UNION ALL
-    SELECT 12, 8, 20, 360 UNION ALL SELECT 13, 9, 20, 160 UNION ALL SELECT 14, 9, 180, 260 UNION ALL
-    SELECT 15, 10, 20, 320 UNION ALL SELECT 16, 11, 20, 320
-  ) b
+  ) t [[b(block_idx, line, b_left, b_right): (0, 0, 20, 220), (1, 1, 20, 160), (2, 1, 180, 260), (3, 2, 20, 160),
+    (4, 2, 180, 260), (5, 3, 20, 320), (6, 4, 20, 320), (7, 5, 20, 160), (8, 5, 180, 260), (9, 6, 20, 220), (10, 7, 20, 120),
+    (11, 7, 140, 260), (12, 8, 20, 360), (13, 9, 20, 160), (14, 9, 180, 260), (15, 10, 20, 320), (16, 11, 20, 320)]]
   WHERE b.line <> product_key % 13
 ) x
 WHERE text IS NOT NULL
 """
 
+# ``[[name(cols): (..), (..)]]`` repeats every row once per tuple: a generator in
+# Spark, a join with a VALUES list for the checker
+_TIMES = re.compile(r"\[\[(\w+)\(([^)]*)\):\s*(.*?)\]\]", re.S)
 _REF = re.compile(r"\{([a-z_]\w*)\}")
 
 
@@ -231,6 +225,10 @@ def sql_on(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     parts = _deps(sql)
 
     def bind(text: str) -> str:
+        text = _TIMES.sub(
+            lambda m: f"LATERAL VIEW inline(array({re.sub(r'(^|,\s*)[(]', r'struct(', m[3]).replace(')struct', '), struct')})) {m[1]} AS {m[2]}",
+            text,
+        )
         return _REF.sub(
             lambda m: m.group(1) if m.group(1) in VIEWS
             else f"parquet.`{sf_dir}/{m.group(1)}.parquet`",
@@ -249,7 +247,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def oracle(sql: str) -> str:
     """The same SQL as plain text for the checker, with the views as CTEs."""
     parts = _deps(sql)
-    bind = lambda text: _REF.sub(lambda m: m.group(1), text)
+
+    def bind(text: str) -> str:
+        text = _TIMES.sub(lambda m: f"CROSS JOIN (VALUES {m[3]}) {m[1]}({m[2]})", text)
+        return _REF.sub(lambda m: m.group(1), text)
+
     own = sql.strip()
     head = ",\n".join(f"{n} AS ({bind(VIEWS[n])})" for n in parts)
     if not head:

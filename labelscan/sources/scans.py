@@ -147,8 +147,5 @@ LEGACY_USER = "legacy-system-user"
 def backfill_user(scans: DataFrame, users: DataFrame, fallback: str = LEGACY_USER) -> DataFrame:
     """SRC-7: rows without an owner get the first user, or the system user when there is none."""
     rows = scans if "user_id" in scans.columns else scans.withColumn("user_id", F.lit(None).cast("string"))
-    first = users.agg(F.min("user_id").alias("_first"))  # one row
-    return (
-        rows.crossJoin(F.broadcast(first))
-        .withColumn("user_id", F.coalesce("user_id", "_first", F.lit(fallback))).drop("_first")
-    )
+    first = users.agg(F.min("user_id")).scalar()
+    return rows.withColumn("user_id", F.coalesce(F.col("user_id"), first, F.lit(fallback)))
