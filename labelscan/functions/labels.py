@@ -18,6 +18,12 @@ for _concept, _variant in VARIANTS:
     _CONCEPT_OF.setdefault(_variant, _concept)
 
 
+_LABEL_FORMS = [
+    f"{name}|" + " ".join(re.findall("[a-z0-9]+", v.lower()))
+    for name, variants in V.CANONICAL_LABELS.items() for v in variants
+]
+
+
 def compact(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
 
@@ -50,14 +56,7 @@ def is_field_label(c: Column, concept: Column) -> Column:
     """SCA-16: the text is nothing but a field label."""
     text = squeeze(c)
     form = label_form(text)
-    per_concept: dict[str, list[str]] = {}
-    for name, variants in V.CANONICAL_LABELS.items():
-        per_concept[name] = [
-            " ".join(re.findall("[a-z0-9]+", v.lower())) for v in variants
-        ]
-    exact = F.lit(False)
-    for name, variants in per_concept.items():
-        exact = exact | ((concept == name) & form.isin(variants))
+    exact = F.concat_ws("|", concept, form).isin(_LABEL_FORMS)
     return has(text, V.FIELD_LABEL) | F.coalesce(exact, F.lit(False))
 
 

@@ -105,18 +105,22 @@ def tokens3(c: Column) -> Column:
     return F.filter(parts, lambda t: F.length(t) >= 3)
 
 
+#: every prefix of at least three letters of a month name -> its number
+MONTH_PREFIXES = {
+    name[:n]: f"{i:02d}" for i, name in enumerate(V.MONTH_NAMES, start=1) for n in range(3, len(name) + 1)
+}
+
+
 def month_number(raw: Column) -> Column:
     """SCA-6: month name, its prefix (>= 3 letters) or a number -> ``MM``.
 
     Anything else gives null. Numeric months are not range checked.
     """
     m = F.lower(strip(raw))
-    by_name = F.lit(None).cast("string")
-    for i, name in reversed(list(enumerate(V.MONTH_NAMES, start=1))):
-        hit = (F.length(m) >= 3) & F.lit(name).startswith(m)
-        by_name = F.when(hit, F.lit(f"{i:02d}")).otherwise(by_name)
-    numeric = F.when(m.rlike(r"^\d+$"), F.lpad(m.cast("int").cast("string"), 2, "0"))
-    return F.coalesce(by_name, numeric)
+    number_of = F.create_map(*[F.lit(x) for kv in MONTH_PREFIXES.items() for x in kv])
+    # anything that is neither a known prefix nor digits has no number
+    digits = F.lpad(F.regexp_extract(m, r"^0*(\d+)$", 1), 2, "0")
+    return F.coalesce(F.try_element_at(number_of, m), F.nullif(digits, F.lit("00")))
 
 
 def year_number(raw: Column) -> Column:
@@ -124,41 +128,33 @@ def year_number(raw: Column) -> Column:
     return F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
 
 
-def price_of(c: Column, pattern: str) -> Column:
-    return first_match(c, pattern, 1)
+def two_decimals(c: Column) -> Column:
+    """Price digits with a decimal point: ``899 00``, ``899,5`` and ``899`` -> ``899.00`` etc."""
+    c = F.regexp_replace(c, r"(?U)^(\d+)\s+(\d{2})$", "$1.$2")
+    c = F.regexp_replace(F.translate(c, ",", "."), r"(?U)^(\d+)$", "$1.00")
+    return F.regexp_replace(c, r"(?U)^(\d+)\.(\d)$", "$1.$20")
 
 
 def normalise_mrp(raw: Column, context: Column) -> Column:
     """SCA-4: the first price of ``raw`` in the standard MRP form."""
     text = strip(raw)
     found = F.regexp_extract(text, V.MRP_PRICE, 1)
-    spaced = F.regexp_extract(found, r"(?U)^(\d+)\s+(\d{2})$", 1)
-    amount = F.when(
-        spaced != "", F.concat_ws(".", spaced, F.regexp_extract(found, r"(?U)^(\d+)\s+(\d{2})$", 2))
-    ).otherwise(F.translate(found, ",", "."))
-    amount = (
-        F.when(~amount.contains("."), F.concat(amount, F.lit(".00")))
-        .when(amount.rlike(r"(?U)^\d+\.\d$"), F.concat(amount, F.lit("0")))
-        .otherwise(amount)
-    )
-    around = strip(F.concat_ws(" ", text, F.coalesce(context, F.lit(""))))
-    prefix = F.when(around.contains(V.RUPEE), F.lit(f"MRP {V.RUPEE}")).otherwise(F.lit("MRP Rs."))
-    taxed = F.regexp_replace(around, "[()]", " ").rlike(V.MRP_TAX_WORDS)
+    around = F.concat_ws(" ", text, context)
+    prefix = F.when(around.contains(V.RUPEE), F.lit(f"MRP {V.RUPEE} ")).otherwise(F.lit("MRP Rs. "))
+    taxed = F.translate(around, "()", "  ").rlike(V.MRP_TAX_WORDS)
     tail = F.when(taxed, F.lit(V.MRP_TAX_SUFFIX)).otherwise(F.lit(""))
-    return F.when(found == "", text).otherwise(F.concat(prefix, F.lit(" "), amount, tail))
+    return F.when(found == "", text).otherwise(F.concat(prefix, two_decimals(found), tail))
 
 
 def normalise_unit_price(value: Column, context: Column) -> Column:
     """SCA-5: ``Rs. 40.00/100g`` form of a unit price."""
     ctx = F.when(F.coalesce(context, F.lit("")) != "", context).otherwise(value)
-    prefix = F.when(ctx.contains(V.RUPEE), F.lit(V.RUPEE)).otherwise(F.lit("Rs."))
-    amount = F.translate(F.regexp_extract(value, V.UNIT_PRICE_NUMBER, 1), ",", ".")
-    amount_full = F.when(amount.contains("."), amount).otherwise(F.concat(amount, F.lit(".00")))
-    unit = F.regexp_extract(ctx, V.UNIT_PRICE_UNIT, 1)
-    tail = F.when(unit != "", F.concat(F.lit("/"), strip(unit))).otherwise(F.lit(""))
-    return F.when(amount == "", strip(value)).otherwise(
-        F.concat(prefix, F.lit(" "), amount_full, tail)
-    )
+    prefix = F.when(ctx.contains(V.RUPEE), F.lit(f"{V.RUPEE} ")).otherwise(F.lit("Rs. "))
+    amount = F.regexp_extract(value, V.UNIT_PRICE_NUMBER, 1)
+    # one decimal stays as it is; only whole amounts are padded
+    full = F.regexp_replace(F.translate(amount, ",", "."), r"(?U)^(\d+)$", "$1.00")
+    tail = F.regexp_replace(F.concat(F.lit("/"), strip(F.regexp_extract(ctx, V.UNIT_PRICE_UNIT, 1))), "^/$", "")
+    return F.when(amount == "", strip(value)).otherwise(F.concat(prefix, full, tail))
 
 
 def quantity_category(c: Column) -> Column:
@@ -188,7 +184,7 @@ def is_company(c: Column) -> Column:
 
 
 def has_company_suffix(c: Column) -> Column:
-    return has(c, V.COMPANY_SUFFIX)
+    return has(c, V.COMPANY_WORDS) & ~c.contains("\n")
 
 
 def company_name(c: Column) -> Column:
@@ -238,21 +234,12 @@ def clean_batch(c: Column) -> Column:
     """SCA-15: a usable batch code, else null."""
     cut = F.regexp_replace(c, V.BATCH_STOP + r"(?s:.*)$", "")
     code = F.btrim(cut, F.lit(V.BATCH_TRIM))
-    bad = (
-        (F.length(code) < 2)
-        | (F.length(code) > 50)
-        | code.rlike(V.BATCH_INSTRUCTION)
-        | code.rlike(V.BATCH_DATE)
-        | code.rlike(V.BATCH_PRICE)
-        | code.rlike(V.BATCH_QUANTITY)
-        | ~code.rlike("[A-Za-z0-9]")
-    )
-    fused = F.split(code, V.BATCH_FUSED_SPLIT, 2)[0]
-    head = F.btrim(fused, F.lit(V.BATCH_TRIM))
-    code2 = F.when(
-        code.rlike(V.BATCH_FUSED_WORD), F.when((fused != "") & (F.length(head) >= 2), head)
-    ).otherwise(code)
-    return F.when(~bad, code2)
+    bad = code.rlike("|".join([V.BATCH_INSTRUCTION, V.BATCH_DATE, V.BATCH_PRICE, V.BATCH_QUANTITY]))
+    ok = code.rlike(r"^(?s:.{2,50})$") & code.rlike("[A-Za-z0-9]") & ~bad
+    # a code glued to a following label ends before it
+    head = F.btrim(F.split(code, V.BATCH_FUSED_SPLIT, 2)[0], F.lit(V.BATCH_TRIM))
+    glued = code.rlike(V.BATCH_FUSED_WORD)
+    return F.when(ok, F.when(~glued, code).when(F.length(head) >= 2, head))
 
 
 def phone_ok(phone: Column, context: Column) -> Column:

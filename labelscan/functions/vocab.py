@@ -230,6 +230,9 @@ COMPANY_SUFFIX = (
     r"(?iUd)^(.*?Pvt\.?\s*Ltd\.?|.*?Private\s+Limited|.*?Ltd\.?|.*?Limited|.*?Inc\.?|.*?LLP|"
     r".*?Corp\.?|.*?Corporation|.*?Industries|.*?Solutions|.*?Enterprises|.*?Foods)\s*(.*)$"
 )
+COMPANY_WORDS = (
+    r"(?iU)Pvt\.?\s*Ltd|Private\s+Limited|Ltd|Limited|Inc|LLP|Corp|Industries|Solutions|Enterprises|Foods"
+)
 ADDRESS_WORDS = [
     "road", "street", "ind", "area", "dist", "state", "pin", "pincode", "plot", "no", "nagar",
     "sector", "post", "bhavan", "building", "floor", "mouza", "city", "flat", "lane", "marg",

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, app: str = "labelscan") -> SparkSession:
@@ -14,6 +15,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "label
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # methods above this size are not compiled by the JVM's JIT: prefer split projections
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", "8g")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
@@ -24,9 +27,26 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "label
     return spark
 
 
+_OWN_FOLDER: dict[str, str] = {}
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return folder
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_FOLDER:
+        _OWN_FOLDER[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _OWN_FOLDER[app]
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write a table that several branches read, and read it back.
+
+    The written table survives lost executors, is computed once, and lets every
+    branch read only its own columns.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
