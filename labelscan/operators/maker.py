@@ -131,14 +131,17 @@ def _target_score(word: Column, targets: Column) -> Column:
     return F.try_element_at(targets, word)
 
 
+def plausible_slope(slope: Column, previous: Column) -> Column:
+    """SCA-18: level, or about as slanted as the previous block; true without a box."""
+    return F.coalesce((slope <= 0.12) | (F.abs(slope - previous) <= 0.04), F.lit(True))
+
+
 def _straight_lines() -> Column:
     """SCA-18: lines that are level, or as slanted as the last accepted one."""
     start = F.struct(F.col("h_sl").alias("prev"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, x):
-        ok = F.coalesce(
-            (x["sl"] <= 0.12) | (F.abs(x["sl"] - acc["prev"]) <= 0.04), F.lit(True)
-        )
+        ok = plausible_slope(x["sl"], acc["prev"])
         return F.when(
             ok, F.struct(x["sl"].alias("prev"), F.concat(acc["out"], F.array(x["line"])).alias("out"))
         ).otherwise(acc)

@@ -75,7 +75,7 @@ def visual_rows_by_gap(blocks: DataFrame) -> DataFrame:
     p_top, p_bottom = F.lag("y_min").over(w), F.lag("y_max").over(w)
     shared = F.greatest(F.lit(0), F.least(bottom, p_bottom) - F.greatest(top, p_top))
     share = F.try_divide(shared.cast("double"), F.least(bottom - top, p_bottom - p_top).cast("double"))
-    fresh = F.when(F.coalesce(share >= ROW_OVERLAP, F.lit(False)), 0).otherwise(1)
+    fresh = F.when(p_top.isNotNull() & (share >= ROW_OVERLAP), 0).otherwise(1)
     flagged = blocks.withColumn("fresh", fresh)
     return flagged.withColumn("row_id", F.sum("fresh").over(w).cast("int") - 1).drop("fresh")
 

@@ -65,3 +65,275 @@ def jn_8(spark, sf):
 @query("win_1", f"""SELECT scan_id, image_idx, block_idx, cast(row_number() OVER (PARTITION BY scan_id, image_idx ORDER BY y_min, x_min, block_idx) - 1 AS int) AS pos FROM ({JITTER}) j""")
 def win_1(spark, sf):
     return SP.reading_order(sql_on(spark, sf, JITTER)).select("scan_id", "image_idx", "block_idx", "pos")
+
+
+# --- extraction ---------------------------------------------------------------------------------
+from labelscan.operators import extract as EX  # noqa: E402
+from labelscan.operators import maker as MK  # noqa: E402
+from labelscan.operators import merge as M  # noqa: E402
+from labelscan.operators import rows as RW  # noqa: E402
+from labelscan.session import staged  # noqa: E402
+
+_SHARED: dict = {}
+
+
+def shared(spark, sf, name, make):
+    """A staged intermediate of the extraction, written once per application and input."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _SHARED:
+        _SHARED[key] = staged(make())
+    return _SHARED[key]
+
+
+def spread_blocks(spark, sf):
+    """The derived blocks come from one small file, so they are spread over the cores."""
+    return view(spark, sf, "ocr_blocks_v").repartition("scan_id", "image_idx")
+
+
+def tagged(spark, sf):
+    return shared(spark, sf, "tagged", lambda: EX.tag(EX.prepare(spread_blocks(spark, sf))))
+
+
+def winners(spark, sf):
+    def make():
+        blocks = tagged(spark, sf)
+        return EX.first_match_wins(EX.block_matches(blocks, staged(EX.image_text(blocks))))
+
+    return shared(spark, sf, "winners", make)
+
+
+def fields(spark, sf):
+    quality = sql_on(spark, sf, QUALITY)
+    return shared(spark, sf, "fields", lambda: EX.extract_fields(spread_blocks(spark, sf), quality, 4.0))
+
+
+def _winner(field, out=None):
+    def run(spark, sf):
+        return winners(spark, sf).filter(F.col("field") == field).select(
+            "scan_id", "image_idx", F.col("value").alias(out or field)
+        ).filter(F.col(out or field).isNotNull())
+
+    return run
+
+
+B = "b AS (SELECT scan_id, image_idx, block_idx, trim(text) AS t, confidence, x_min, y_min, x_max, y_max FROM {ocr_blocks_v} WHERE confidence >= 0.10)"
+ROW = "v.x_min >= l.x_max - 180 AND greatest(0, least(l.y_max, v.y_max) - greatest(l.y_min, v.y_min)) / least(l.y_max - l.y_min, v.y_max - v.y_min) >= 0.5"
+BELOW = "v.y_min >= l.y_max AND v.x_max >= l.x_min AND v.x_min <= l.x_max"
+RANK = f"""CASE WHEN {ROW} THEN 0 ELSE 1 END AS n1, CASE WHEN {ROW} THEN greatest(v.x_min - l.x_max, l.x_min - v.x_max, 0) ELSE v.y_min - l.y_max END AS n2,
+ CASE WHEN {ROW} THEN -(greatest(0, least(l.y_max, v.y_max) - greatest(l.y_min, v.y_min)) / least(l.y_max - l.y_min, v.y_max - v.y_min)) ELSE 0 END AS n3,
+ abs((v.x_min + v.x_max) / 2.0 - (l.x_min + l.x_max) / 2.0) AS n4, v.block_idx AS n5"""
+VS = "b l JOIN b v ON v.scan_id = l.scan_id AND v.image_idx = l.image_idx AND v.block_idx <> l.block_idx"
+FULL = "f AS (SELECT scan_id, image_idx, string_agg(t, ' ' ORDER BY block_idx) AS t FROM b GROUP BY scan_id, image_idx)"
+
+
+def _first(name, ctes, matches):
+    """Oracle of one field: all matches with their order, smallest first."""
+    return f"""WITH {B}, {FULL}, {ctes + ', ' if ctes else ''}x(scan_id, image_idx, p, o, br, n1, n2, n3, n4, n5, value) AS ({matches})
+SELECT scan_id, image_idx, value AS {name} FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, image_idx ORDER BY p, o, br, n1, n2, n3, n4, n5) AS rn
+  FROM x WHERE value IS NOT NULL) q WHERE rn = 1"""
+
+
+OWN0 = "0, 0, 0, 0, 0"
+MRP_SQL = _first("mrp", "", f"""
+SELECT scan_id, image_idx, 0, block_idx, 0, {OWN0}, CASE WHEN regexp_matches(t, '(?i)(mrp|maximum retail price)[ :.-]*(rs\\.?)? *[0-9]{{2,}}')
+  THEN 'MRP Rs. ' || regexp_extract(t, '([0-9]+(\\.[0-9]{{1,2}})?)') || CASE WHEN regexp_matches(t, '(?i)incl') THEN ' (inclusive of all taxes)' ELSE '' END END FROM b
+UNION ALL SELECT l.scan_id, l.image_idx, 0, l.block_idx, 1, {RANK}, CASE WHEN v.confidence >= 0.35 AND NOT regexp_matches(v.t, '(?i)net *(qty|quantity)|^ *[0-9.]+ *(g|kg|ml) *$|\\b(phone|tel|date|batch)\\b|[0-9]{{3,}}[- ][0-9]{{3,}}')
+  AND regexp_matches(v.t, '[0-9]{{2,}}') THEN 'MRP Rs. ' || regexp_extract(v.t, '([0-9]{{2,}}(\\.[0-9]{{1,2}})?)') END
+FROM {VS} WHERE regexp_matches(l.t, '(?i)^(mrp|maximum retail price)') AND {ROW}""")
+query("ext_01", MRP_SQL)(_winner("mrp"))
+
+QTY = "([0-9]+ *(g|kg|ml))\\b"
+NEAR = "greatest(v.y_min - l.y_max, l.y_min - v.y_max, 0) <= 80 AND abs((v.y_min + v.y_max) / 2.0 - (l.y_min + l.y_max) / 2.0) <= 160"
+query("ext_02", _first("netQuantity", "", f"""
+SELECT scan_id, image_idx, 0, block_idx, 2, {OWN0}, nullif(regexp_extract(t, '(?i)net *(?:qty|quantity)[ :.-]*{QTY}', 1), '') FROM b
+UNION ALL SELECT l.scan_id, l.image_idx, 0, l.block_idx, 3, 0, greatest(v.y_min - l.y_max, l.y_min - v.y_max, 0), abs((v.x_min + v.x_max) / 2.0 - (l.x_min + l.x_max) / 2.0), 0, v.block_idx,
+  CASE WHEN NOT regexp_matches(v.t, '(?i)unit sale price') THEN nullif(regexp_extract(v.t, '(?i)\\b{QTY}', 1), '') END FROM {VS}
+  WHERE regexp_matches(l.t, '(?i)\\bnet *(qty|quantity)\\b') AND {NEAR}
+UNION ALL SELECT scan_id, image_idx, 2, 0, 0, {OWN0}, nullif(regexp_extract(t, '(?i)net *(?:qty|quantity)[ :.-]*{QTY}', 1), '') FROM f
+UNION ALL SELECT scan_id, image_idx, 3, block_idx, 0, {OWN0}, CASE WHEN NOT regexp_matches(lower(t), 'mrp|rs|₹|date|batch|lot|unit sale price') THEN nullif(regexp_extract(t, '(?i)\\b{QTY}', 1), '') END FROM b
+UNION ALL SELECT scan_id, image_idx, 4, 0, 0, {OWN0}, nullif(regexp_extract(t, '(?i)\\b{QTY}', 1), '') FROM f"""))(_winner("netQuantity"))
+
+MADE = "(?i)(?:mfg date|mfg|mfd|dom|pack[a-z]*)[ :.-]*([01]?[0-9])/(20[0-9]{2})"
+DATE = "\\b([01]?[0-9])[/ .-]+(20[0-9]{2}|[0-9]{2})\\b"
+MY = lambda t, p: (
+    f"CASE WHEN regexp_matches({t}, '{p}') THEN lpad(regexp_extract({t}, '{p}', 1), 2, '0') || '/'"
+    f" || CASE WHEN length(regexp_extract({t}, '{p}', 2)) = 2 THEN '20' ELSE '' END || regexp_extract({t}, '{p}', 2) END"
+)
+EOB = "(?i)\\b(exp|expiry|best\\s+before|use\\s+by|use\\s+before|batch|lot|b\\.?\\s*no)\\b"
+query("ext_04", _first("made", "", f"""
+SELECT scan_id, image_idx, 0, block_idx, 0, {OWN0}, {MY('t', MADE)} FROM b
+UNION ALL SELECT l.scan_id, l.image_idx, 0, l.block_idx, 1, {RANK}, CASE WHEN NOT regexp_matches(v.t, '{EOB}') THEN {MY('v.t', DATE)} END FROM {VS}
+  WHERE regexp_matches(l.t, '(?i)\\b(mfg|mfd|dom|dop|pkd)\\b') AND NOT regexp_matches(l.t, '{MADE}') AND NOT regexp_matches(l.t, '{EOB}')
+    AND (({ROW.replace('180', '150')}) OR ({BELOW}))
+UNION ALL SELECT scan_id, image_idx, 1, 0, 0, {OWN0}, CASE WHEN NOT regexp_matches(right(regexp_extract(t, '^(.*?){MADE}', 1), 30), '{EOB}') THEN {MY('t', MADE)} END FROM f"""))(_winner("made"))
+
+EXPI = "(?i)(?:best before|expiry|exp)[ :.-]*([01]?[0-9])/(20[0-9]{2})"
+query("ext_08", _first("expiry", "", f"""
+SELECT scan_id, image_idx, 0, block_idx, 0, {OWN0}, {MY('t', EXPI)} FROM b"""))(_winner("expiry"))
+
+query("ext_09", _first("unitSalePrice", "", f"""
+SELECT scan_id, image_idx, 0, block_idx, 0, {OWN0}, CASE WHEN regexp_matches(t, '(?i)unit sale price: rs\\. [0-9]') THEN
+  'Rs. ' || regexp_extract(t, '([0-9]+\\.[0-9]{{2}})') || '/' || regexp_extract(t, '/(kg)', 1) END FROM b"""))(_winner("unitSalePrice"))
+
+query("ext_10", _first("batchNumber", "", f"""
+SELECT scan_id, image_idx, 0, block_idx, 0, {OWN0}, CASE WHEN length(regexp_extract(t, '(?i)batch no: (B[0-9]+)$', 1)) >= 2 THEN regexp_extract(t, '(?i)batch no: (B[0-9]+)$', 1) END FROM b
+UNION ALL SELECT l.scan_id, l.image_idx, 0, l.block_idx, 1, {RANK}, CASE WHEN regexp_matches(v.t, '^B[0-9]+X$') THEN v.t
+  WHEN regexp_matches(v.t, '(?i)^consumer care|^product of|^imported|^unit sale|^country') THEN trim(regexp_replace(v.t, '(?i)( read.*| see.*)$', '')) END FROM {VS}
+  WHERE regexp_matches(l.t, '(?i)^batch no$') AND (({ROW.replace('180', '150')}) OR ({BELOW}))"""))(_winner("batchNumber"))
+
+query("ext_07", _first("importerName", "", f"""
+SELECT scan_id, image_idx, 0, block_idx, 0, {OWN0}, nullif(trim(regexp_extract(t, '^Imported by +(.*Ltd)', 1)), '') FROM b"""))(_winner("importerName"))
+
+query("ext_06", f"""WITH {B}, {FULL}
+SELECT scan_id, image_idx, 'India' AS "countryOfOrigin" FROM f WHERE contains(t, 'Product of India')
+UNION ALL SELECT l.scan_id, l.image_idx, 'India' FROM {VS} WHERE l.t = 'Country of Origin' AND v.t = 'India' AND {ROW}""")(_winner("countryOfOrigin"))
+
+query("ext_05", f"""WITH {B}
+SELECT scan_id, image_idx, '1800-100-1000, care@brand.example' AS "consumerCare" FROM b WHERE contains(t, 'Consumer Care: 1800')""")(
+    lambda spark, sf: EX.widen(winners(spark, sf)).select("scan_id", "image_idx", "consumerCare").filter("consumerCare IS NOT NULL")
+)
+
+STAT = m("t", V.STATUTORY) + " AND NOT " + m("t", V.NON_STATUTORY) + " AND length(t) >= 3 AND regexp_matches(t, '[A-Za-z]')"
+
+
+@query("ext_11", f"""WITH {B} SELECT scan_id, image_idx, count(*) AS measured, cast(min(y_max - y_min) AS int) AS smallest, cast(max(y_max - y_min) AS int) AS largest,
+  cast(median(y_max - y_min) AS double) AS median_px, cast(round_even(min(y_max - y_min) / 7.0, 2) AS double) AS mm FROM b WHERE {STAT} GROUP BY scan_id, image_idx""")
+def ext_11(spark, sf):
+    return EX.font_heights(EX.prepare(view(spark, sf, "ocr_blocks_v")), 7.0).select(
+        "scan_id", "image_idx", F.size("measured_blocks").cast("bigint").alias("measured"),
+        F.col("smallest_height_px").alias("smallest"), F.col("largest_height_px").alias("largest"),
+        F.col("median_height_px").alias("median_px"), F.col("fontHeightMm").alias("mm"),
+    )
+
+
+@query("flt_9", f"WITH {B} SELECT scan_id, image_idx, block_idx FROM b WHERE {STAT}")
+def flt_9(spark, sf):
+    return EX.prepare(view(spark, sf, "ocr_blocks_v")).filter(X.is_statutory(F.col("t"))).select(
+        "scan_id", "image_idx", "block_idx"
+    )
+
+
+@query("flt_10", f"WITH {B} SELECT scan_id, image_idx, block_idx, {m('t', V.NET_CONTEXT)} OR {m('t', V.BARE_QUANTITY)} AS is_quantity FROM b")
+def flt_10(spark, sf):
+    return EX.prepare(view(spark, sf, "ocr_blocks_v")).select(
+        "scan_id", "image_idx", "block_idx", X.is_quantity_context(F.col("t")).alias("is_quantity")
+    )
+
+
+@query("flt_1", f"WITH {B}, {FULL} SELECT scan_id, image_idx, t AS full_text FROM f")
+def flt_1(spark, sf):
+    return EX.image_text(EX.prepare(view(spark, sf, "ocr_blocks_v"))).select("scan_id", "image_idx", "full_text")
+
+
+query("win_3", MRP_SQL)(_winner("mrp"))
+
+
+@query("win_4", """SELECT scan_id, image_idx, block_idx, cast(dense_rank() OVER (PARTITION BY scan_id, image_idx ORDER BY y_min) - 1 AS int) AS row_id FROM {ocr_blocks_v}""")
+def win_4(spark, sf):
+    return RW.visual_rows(view(spark, sf, "ocr_blocks_v"))
+
+
+@query("win_4_windows", """SELECT scan_id, image_idx, block_idx, cast(dense_rank() OVER (PARTITION BY scan_id, image_idx ORDER BY y_min) - 1 AS int) AS row_id FROM {ocr_blocks_v}""")
+def win_4_windows(spark, sf):
+    return RW.visual_rows_by_gap(view(spark, sf, "ocr_blocks_v")).select("scan_id", "image_idx", "block_idx", "row_id")
+
+
+@query("win_5", """SELECT scan_id, image_idx, cast(dense_rank() OVER (PARTITION BY scan_id, image_idx ORDER BY y_min) - 1 AS int) AS row_id,
+  string_agg(text, ' ' ORDER BY x_min) AS row_text FROM {ocr_blocks_v} GROUP BY scan_id, image_idx, y_min""")
+def win_5(spark, sf):
+    rows = RW.visual_rows_by_gap(view(spark, sf, "ocr_blocks_v"))
+    return RW.row_texts(rows, "text").select("scan_id", "image_idx", "row_id", "row_text")
+
+
+@query("win_7", f"""WITH {B}, e AS (SELECT scan_id, image_idx, min(y_min * 100000 + x_min) AS s FROM b WHERE {m('t', V.NAME_ENTITY)} GROUP BY scan_id, image_idx)
+SELECT b.scan_id, b.image_idx, b.block_idx FROM b LEFT JOIN e ON e.scan_id = b.scan_id AND e.image_idx = b.image_idx WHERE s IS NULL OR y_min * 100000 + x_min < s""")
+def win_7(spark, sf):
+    rows = EX.prepare(view(spark, sf, "ocr_blocks_v"))
+    read = F.struct(*SP.reading_key())
+    start = rows.filter(X.has(F.col("t"), V.NAME_ENTITY)).groupBy(*SP.IMAGE).agg(F.min(read).alias("start"))
+    return rows.join(start, SP.IMAGE, "left").filter(F.coalesce(read < F.col("start"), F.lit(True))).select(
+        "scan_id", "image_idx", "block_idx"
+    )
+
+
+MAKER_SQL = f"""WITH {B}, h AS (SELECT *, trim(regexp_extract(t, '^Mfg by (.*Foods Pvt Ltd)$', 1)) AS name FROM b WHERE starts_with(t, 'Mfg by'))
+SELECT h.scan_id, h.image_idx, h.name AS "manufacturerName", a.t AS "manufacturerAddress" FROM h LEFT JOIN b a ON a.scan_id = h.scan_id AND a.image_idx = h.image_idx AND a.block_idx = 6"""
+
+
+# a maker line below the minimum confidence is still found, with its label and without address
+@query("ext_03", MAKER_SQL + """ UNION ALL SELECT scan_id, image_idx, trim(text), NULL FROM {ocr_blocks_v} WHERE confidence < 0.10 AND starts_with(text, 'Mfg by')""")
+def ext_03(spark, sf):
+    return MK.extract_maker(tagged(spark, sf), EX.prepare(view(spark, sf, "ocr_blocks_v"), None)).select(
+        "scan_id", "image_idx", "manufacturerName", "manufacturerAddress"
+    ).filter("manufacturerName IS NOT NULL")
+
+
+@query("win_6", f"""WITH {B} SELECT h.scan_id, h.image_idx, coalesce(a.t, '') AS lines FROM b h LEFT JOIN b a ON a.scan_id = h.scan_id AND a.image_idx = h.image_idx AND a.block_idx = 6
+WHERE h.block_idx = 5""")
+def win_6(spark, sf):
+    return MK.sections(tagged(spark, sf)).filter("NOT damaged").select(
+        "scan_id", "image_idx", F.array_join("lines", "|").alias("lines")
+    )
+
+
+query("srt_7", MAKER_SQL.split('AS "manufacturerName"')[0] + 'AS "manufacturerName" FROM h')(
+    lambda spark, sf: MK.best_section(MK.section_names(MK.sections(tagged(spark, sf)))).select(
+        "scan_id", "image_idx", F.col("name").alias("manufacturerName")
+    )
+)
+
+QUALITY = "SELECT scan_id, image_idx, CASE scan_key % 8 WHEN 3 THEN 'POOR' ELSE 'ACCEPTABLE' END AS quality_status FROM {image_values_v}"
+
+
+@query("ext_12")
+def ext_12(spark, sf):
+    return fields(spark, sf).select("scan_id", "image_idx", "productName")
+
+
+@query("set_4")
+def set_4(spark, sf):
+    """Candidate names that repeat no extracted value."""
+    return EX.first_match_wins(EX.plain_names(tagged(spark, sf), fields(spark, sf))).select("scan_id", "image_idx", "value")
+
+
+@query("ext_13")
+def ext_13(spark, sf):
+    return fields(spark, sf).select(
+        "scan_id", "image_idx", "mrp", "netQuantity", "manufacturerName", "manufacturerAddress", "monthOfPacking",
+        "yearOfPacking", "expiryMonth", "expiryYear", "consumerCare", "countryOfOrigin", "importerName",
+        "unitSalePrice", "fontHeightMm", "batchNumber", "productName", "completeness", "extraction_confidence",
+    )
+
+
+GRADE_IN = """SELECT scan_id, image_idx, mrp, net_quantity, manufacturer_name, month_of_packing, year_of_packing, consumer_care, product_name, mean_conf,
+  CASE scan_key % 9 WHEN 0 THEN 'POOR' ELSE 'ACCEPTABLE' END AS quality_status FROM {image_values_v}"""
+PTS = """(CASE WHEN mrp IS NULL THEN 0 ELSE 1 END + CASE WHEN net_quantity IS NULL THEN 0 ELSE 1 END + CASE WHEN manufacturer_name IS NULL THEN 0 ELSE 1 END
+ + CASE WHEN month_of_packing IS NOT NULL AND year_of_packing IS NOT NULL THEN 1 WHEN month_of_packing IS NOT NULL OR year_of_packing IS NOT NULL THEN 0.5 ELSE 0 END
+ + CASE WHEN consumer_care IS NULL THEN 0 ELSE 0.5 END + CASE WHEN product_name IS NULL THEN 0 ELSE 0.5 END)"""
+
+
+@query("agg_4", f"""SELECT scan_id, image_idx, cast({PTS} AS double) AS completeness, CASE WHEN quality_status = 'POOR' OR {PTS} < 2 THEN 'LOW'
+  WHEN {PTS} >= 3.5 AND mean_conf >= 0.5 AND mrp IS NOT NULL AND net_quantity IS NOT NULL AND manufacturer_name IS NOT NULL
+    AND (month_of_packing IS NOT NULL OR year_of_packing IS NOT NULL) THEN 'HIGH' ELSE 'MEDIUM' END AS extraction_confidence FROM ({GRADE_IN}) g""")
+def agg_4(spark, sf):
+    names = {
+        "net_quantity": "netQuantity", "manufacturer_name": "manufacturerName", "month_of_packing": "monthOfPacking",
+        "year_of_packing": "yearOfPacking", "consumer_care": "consumerCare", "product_name": "productName",
+    }
+    rows = sql_on(spark, sf, GRADE_IN).withColumnsRenamed(names).withColumn("manufacturerAddress", F.lit(None).cast("string"))
+    return EX.completeness(rows).select("scan_id", "image_idx", "completeness", "extraction_confidence")
+
+
+query("agg_6", f"""WITH {B} SELECT scan_id, image_idx, cast(min(y_max - y_min) AS int) AS smallest, cast(max(y_max - y_min) AS int) AS largest,
+  cast(median(y_max - y_min) AS double) AS median_px, string_agg(t, '|' ORDER BY block_idx) AS texts FROM b WHERE {STAT} GROUP BY scan_id, image_idx""")(
+    lambda spark, sf: EX.font_heights(EX.prepare(view(spark, sf, "ocr_blocks_v"))).select(
+        "scan_id", "image_idx", F.col("smallest_height_px").alias("smallest"), F.col("largest_height_px").alias("largest"),
+        F.col("median_height_px").alias("median_px"),
+        F.array_join(F.transform("measured_blocks", lambda b: b["text"]), "|").alias("texts"),
+    )
+)
+query("agg_7", f"""WITH {B} SELECT scan_id, image_idx, cast(round_even(min(y_max - y_min) / 7.0, 2) AS double) AS mm FROM b WHERE {STAT} GROUP BY scan_id, image_idx""")(
+    lambda spark, sf: EX.font_heights(EX.prepare(view(spark, sf, "ocr_blocks_v")), 7.0).select(
+        "scan_id", "image_idx", F.col("fontHeightMm").alias("mm")
+    )
+)
