@@ -243,11 +243,13 @@ def udf_4(spark, sf):
     )
 
 
-@query("sca_25", f"SELECT doc_id, md5(trim(regexp_replace(text, '{re2(V.BOUNDARY_KEYWORDS)}(?s:.*)$', ''), ' ' || chr(10) || chr(13) || chr(9))) AS h FROM documents")
+# ASCII text, because the checker's word boundaries know ASCII only
+ASCII = "SELECT doc_id, regexp_replace(text, '[^ -~]+', ' '{g}) AS text FROM {{documents}}"
+
+
+@query("sca_25", f"SELECT doc_id, md5(trim(regexp_replace(text, '{re2(V.BOUNDARY_KEYWORDS)}.*$', ''))) AS h FROM ({ASCII.format(g=", 'g'")}) d")
 def sca_25(spark, sf):
-    plain = V.BOUNDARY_KEYWORDS.replace("(?iU)", "(?i)")
-    cut = F.btrim(F.regexp_replace(T, plain + r"(?s:.*)$", ""), F.lit(" \n\r\t"))
-    return docs(spark, sf).select("doc_id", F.md5(cut.cast("binary")).alias("h"))
+    return sql_on(spark, sf, ASCII.format(g="")).select("doc_id", F.md5(X.cut_at_boundary(T).cast("binary")).alias("h"))
 
 
 DAMAGED = """SELECT product_id AS scan_id, 0 AS image_idx, cast(product_key AS int) AS block_idx, product_key, CASE product_key % 5 WHEN 0 THEN 'Manufacturcd by ' || coalesce(manufacturer_name, 'X')

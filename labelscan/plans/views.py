@@ -220,8 +220,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sql_on(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run SQL with ``{table}`` and ``{view}`` placeholders on a data directory."""
+def sql_on(spark: SparkSession, sf_dir: str, sql: str, instead: dict[str, str] | None = None) -> DataFrame:
+    """Run SQL with ``{table}`` and ``{view}`` placeholders on a data directory.
+
+    ``instead`` names a temporary view to read in place of a table (a stream, say).
+    """
+    instead = instead or {}
     parts = _deps(sql)
 
     def bind(text: str) -> str:
@@ -231,6 +235,7 @@ def sql_on(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
         )
         return _REF.sub(
             lambda m: m.group(1) if m.group(1) in VIEWS
+            else instead[m.group(1)] if m.group(1) in instead
             else f"parquet.`{sf_dir}/{m.group(1)}.parquet`",
             text,
         )
