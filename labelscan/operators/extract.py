@@ -53,7 +53,8 @@ def _emit(rows: DataFrame, found: list[tuple[str, Column, Column]]) -> DataFrame
 
 def first_match_wins(matches: DataFrame) -> DataFrame:
     """WIN-3: the match with the smallest key per image and field."""
-    return matches.groupBy(*IMAGE, "field").agg(F.min_by("value", "key").alias("value"))
+    best = matches.groupBy(*IMAGE, "field").agg(F.min(F.struct("key", "value")).alias("m"))
+    return best.select(*IMAGE, "field", "m.key", "m.value")
 
 
 # --- blocks ----------------------------------------------------------------------------------
@@ -402,9 +403,7 @@ def text_matches(texts: DataFrame) -> DataFrame:
         ),
         lambda s: s.isNotNull(),
     )
-    return _emit(
-        texts,
-        [
+    found = [
             ("netQuantity", k(1), promo_value(t)), ("netQuantity", k(2), labelled_quantity(t)),
             ("netQuantity", k(4), generic_quantity(t)),
             ("made", k(1), F.when(~X.has(made_lead, V.EXPIRY_OR_BATCH), _date(fixed, V.MADE_DATE))),
@@ -415,8 +414,12 @@ def text_matches(texts: DataFrame) -> DataFrame:
             ("phone", k(1), F.coalesce(toll, F.when((labelled != "") & X.phone_ok(labelled, care), labelled))),
             ("email", k(0), X.first_match(care, V.EMAIL)),
             ("website", k(0), F.when(X.has(care, V.CARE_LABEL), X.first_match(care, V.WEBSITE))),
-        ],
-    )
+    ]
+    if "settled" not in texts.columns:
+        return _emit(texts, found)
+    # fields that a block has settled already are not searched in the text
+    open_field = lambda f: ~F.coalesce(F.array_contains("settled", f), F.lit(False))
+    return _emit(texts, [(f, key, F.when(open_field(f), value)) for f, key, value in found])
 
 
 def country_text(texts: DataFrame) -> DataFrame:
@@ -513,19 +516,36 @@ def plain_names(tagged: DataFrame, known: DataFrame) -> DataFrame:
 
 
 # --- suite ---------------------------------------------------------------------------------------
-def block_matches(tagged: DataFrame, texts: DataFrame) -> DataFrame:
-    from labelscan.operators.rows import visual_row_texts
-
-    fragments = tagged.filter(X.has(F.col("t"), V.ORIGIN_PREFIX_WORD)).select(*IMAGE).distinct()
+def block_matches(tagged: DataFrame) -> DataFrame:
+    """All matches that start from a block."""
     parts = [
-        own_matches(tagged), country_own(tagged), pair_matches(tagged), text_matches(texts),
-        country_text(texts), importer_next(tagged),
-        country_rows(visual_row_texts(tagged.join(fragments, IMAGE, "left_semi"))),
+        own_matches(tagged), country_own(tagged), pair_matches(tagged), importer_next(tagged),
         explicit_names(tagged),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
+def winning_matches(tagged: DataFrame) -> DataFrame:
+    """Best match per image and field.
+
+    The whole text is searched only for fields no block has settled, and visual rows
+    are built only for images whose country is still open.
+    """
+    from labelscan.operators.rows import visual_row_texts
+
+    by_block = staged(first_match_wins(block_matches(tagged)))
+    settled = by_block.filter("key.p = 0").groupBy(*IMAGE).agg(F.collect_set("field").alias("settled"))
+    texts = staged(image_text(tagged).join(settled, IMAGE, "left"))
+    best = staged(first_match_wins(by_block.unionByName(text_matches(texts)).unionByName(country_text(texts))))
+    placed = best.filter("field = 'countryOfOrigin' AND key.p <= 2").select(*IMAGE)
+    broken = (
+        tagged.filter(X.has(F.col("t"), V.ORIGIN_PREFIX_WORD)).select(*IMAGE).distinct()
+        .join(placed, IMAGE, "left_anti")
+    )
+    rows = country_rows(visual_row_texts(tagged.join(broken, IMAGE, "left_semi")))
+    return first_match_wins(best.unionByName(rows))
+
+
 LONG_FIELDS = [
     "mrp", "netQuantity", "made", "expiry", "unitSalePrice", "batchNumber", "importerName",
     "countryOfOrigin", "phone", "email", "website", "name",
@@ -586,8 +606,7 @@ def extract_fields(blocks: DataFrame, quality: DataFrame | None = None, calibrat
     from labelscan.operators.maker import extract_maker
 
     tagged = staged(tag(prepare(blocks)))
-    texts = staged(image_text(tagged))
-    wide = widen(first_match_wins(block_matches(tagged, texts)))
+    wide = widen(winning_matches(tagged))
     maker = extract_maker(tagged, prepare(blocks, None))
     images = tagged.groupBy(*IMAGE).agg(F.avg("conf").alias("mean_conf"))
     base = staged(images.join(wide, IMAGE, "left").join(maker, IMAGE, "left"))

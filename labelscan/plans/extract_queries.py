@@ -95,11 +95,7 @@ def tagged(spark, sf):
 
 
 def winners(spark, sf):
-    def make():
-        blocks = tagged(spark, sf)
-        return EX.first_match_wins(EX.block_matches(blocks, staged(EX.image_text(blocks))))
-
-    return shared(spark, sf, "winners", make)
+    return shared(spark, sf, "winners", lambda: EX.winning_matches(tagged(spark, sf)))
 
 
 def fields(spark, sf):

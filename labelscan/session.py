@@ -15,6 +15,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "label
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # small files are read as partitions of their own, so that CPU-heavy stages spread
+        .config("spark.sql.files.openCostInBytes", "65536")
         # methods above this size are not compiled by the JVM's JIT: prefer split projections
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", "8g")
