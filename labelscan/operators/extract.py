@@ -313,35 +313,45 @@ def _sides(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Label rows and value rows of the shared spatial join, long by field."""
     t = F.col("t")
 
-    def side(rows):
+    def side(source, rows):
         items = F.array(*[
             F.when(cond, F.struct(F.lit(f).alias("field"), F.lit(rel).alias("rel"), F.lit(dist).alias("dist"), text.alias("x"), t.alias("ctx")))
             for f, rel, dist, cond, text in rows
         ])
         return (
-            tagged.select(*IMAGE, "block_idx", *GEOMETRY, items.alias("ss"))
-            .select(*IMAGE, "block_idx", *GEOMETRY, F.explode_outer("ss").alias("s")).filter("s IS NOT NULL").select(*IMAGE, "block_idx", *GEOMETRY, "s.*")
+            source.select(*IMAGE, "block_idx", *GEOMETRY, items.alias("ss"))
+            .select(*IMAGE, "block_idx", *GEOMETRY, F.explode_outer("ss").alias("s"))
+            .filter("s IS NOT NULL").select(*IMAGE, "block_idx", *GEOMETRY, "s.*")
         )
 
     far, dates = V.MAX_DISTANCE, V.MAX_DATE_DISTANCE
     exp_lead = before(t, V.EXPIRY_INLINE)
     exp_stop = X.has(t, V.EXPIRY_INLINE) & X.has(exp_lead, V.MADE_ONLY_CONTEXT) & ~X.has(exp_lead, V.EXPIRY_CONTEXT)
-    labels = side([
-        ("mrp", "row", far, X.has(t, V.MRP_LABEL), t),
-        ("count", "row_below", far, X.has(t, V.COUNT_LABEL), t),
-        ("near", "near", V.NEARBY_GAP, X.has(t, V.NET_LABEL), t),
+    batch_rest = X.strip(after(t, V.BATCH_LABEL))
+    usp_rest = X.strip(after(t, V.UNIT_PRICE_LABEL))
+    # a label that carries its own value always beats its neighbours: it needs no partner
+    lacks = lambda value: value.isNull()
+    priced = X.has(F.regexp_extract(after(t, V.MRP_LABEL), V.MRP_INLINE_VALUE, 0), V.MRP_PRICE_TWO_DIGITS)
+    labels = side(tagged, [
+        ("mrp", "row", far, X.has(t, V.MRP_LABEL) & ~priced, t),
+        ("count", "row_below", far, X.has(t, V.COUNT_LABEL) & lacks(count_value(after(t, V.COUNT_LABEL))), t),
+        ("near", "near", V.NEARBY_GAP, X.has(t, V.NET_LABEL) & lacks(labelled_quantity(t)), t),
         ("made", "row_below", dates,
          X.has(t, V.MADE_LABEL) & ~X.has(t, V.MADE_DATE) & ~X.has(t, V.EXPIRY_OR_BATCH), t),
         ("expiry", "row_below", dates,
-         X.has(t, V.EXPIRY_CONTEXT) & ~X.has(t, V.BATCH_ONLY_LINE) & ~exp_stop, t),
-        ("batch", "row_below", dates, X.has(t, V.BATCH_LABEL), t),
+         X.has(t, V.EXPIRY_CONTEXT) & ~X.has(t, V.BATCH_ONLY_LINE) & ~exp_stop & lacks(_date(t, V.EXPIRY_INLINE)), t),
+        ("batch", "row_below", dates, X.has(t, V.BATCH_LABEL) & lacks(X.clean_batch(batch_rest)), t),
         ("usp", "row", far,
-         X.has(t, V.UNIT_PRICE_LABEL) & ~X.has(X.strip(after(t, V.UNIT_PRICE_LABEL)), V.QUANTITY_ONLY), t),
-        ("importer", "row", far, X.has(t, V.IMPORTER_INLINE), t),
+         X.has(t, V.UNIT_PRICE_LABEL) & ~X.has(usp_rest, V.QUANTITY_ONLY) & lacks(unit_price_piece(usp_rest)), t),
+        ("importer", "row", far, X.has(t, V.IMPORTER_INLINE)
+         & lacks(importer_value(X.strip(F.regexp_extract(t, V.IMPORTER_INLINE, 1)))), t),
         ("country", "row", far, is_country_label(t), t),
         ("fragment", "right_of", V.RIGHT_GAP, X.has(t, V.ORIGIN_PREFIX), t),
         ("name", "row_below", far, X.has(t, V.NAME_LABEL), t),
     ])
+    labels = staged(labels)
+    # values are looked for only in images, and for fields, that still have such a label
+    wanted = labels.groupBy(*IMAGE).agg(F.collect_set("field").alias("wanted"))
     name_ok = valid_explicit_name(t, F.col("concept"), F.col("header_word"))
     values = [
         ("mrp", mrp_neighbour(t, F.col("conf"))), ("count", count_value(t)),
@@ -351,7 +361,11 @@ def _sides(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
         ("usp", unit_price_piece(t)), ("importer", importer_value(t)), ("country", F.col("country")),
         ("fragment", t), ("name", F.when((t != "") & name_ok, t)),
     ]
-    return labels, side([(f, "", 0, v.isNotNull() & (v != ""), v) for f, v in values])
+    asked = lambda f: F.array_contains("wanted", f)
+    return labels, side(
+        tagged.join(wanted, IMAGE),
+        [(f, "", 0, asked(f) & F.coalesce(v != "", F.lit(False)), v) for f, v in values],
+    )
 
 
 def pair_matches(tagged: DataFrame) -> DataFrame:

@@ -16,16 +16,21 @@ def test_image_files(spark, tmp_path):
     (tmp_path / "a.jpg").write_bytes(b"\xff\xd8\xff\xe0 data")
     (tmp_path / "b.png").write_bytes(b"\x89PNG\r\n\x1a\n data")
     (tmp_path / "c.jpg").write_bytes(b"BM bitmap")
-    (tmp_path / "d.jpg").write_bytes(b"")
     (tmp_path / "e.png").write_bytes(b"\x89PNG\r\n\x1a\n" + b"0" * (10 * 1024 * 1024))
     (tmp_path / "f.png").write_bytes(b"\x89PNG\r\n\x1a\n" + b"0" * (10 * 1024 * 1024 - 8))
     got = {r.file_name: (r.accepted, r.reason) for r in SI.read_images(spark, str(tmp_path)).drop("content").collect()}
     assert got == {
-        "a.jpg": (True, None), "b.png": (True, None), "c.jpg": (False, "invalid_image"), "d.jpg": (False, "invalid_image"),
+        "a.jpg": (True, None), "b.png": (True, None), "c.jpg": (False, "invalid_image"),
         "e.png": (False, "file_too_large"), "f.png": (True, None),
     }
 
 
+def test_empty_upload(spark):
+    # the file source lists no empty files, so an empty upload is checked as a row
+    row = SI.check_images(spark.createDataFrame([(bytearray(),)], "content binary")).first()
+    assert (row.accepted, row.reason, row.detail) == (False, "invalid_image", "Uploaded file is empty.")
+
+
 def test_image_groups(spark):
     rows = [("ok", True)] * 4 + [("many", True)] * 5 + [("bad", True), ("bad", False)]
     kept = SI.check_groups(spark.createDataFrame(rows, "scan_id string, accepted boolean"))
