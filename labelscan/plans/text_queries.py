@@ -16,7 +16,6 @@ from labelscan.plans.merge_queries import m, re2
 from labelscan.plans.registry import query
 from labelscan.plans.views import sql_on, table, view
 
-T = F.col("text")
 
 
 def docs(spark, sf):
@@ -33,13 +32,13 @@ K = "scan_id, image_idx, block_idx"
 
 @query("sca_1", "SELECT doc_id, md5(translate(translate(text, '0123456789', '०१२३४५६७८९'), '०१२३४५६७८९', '0123456789')) AS h FROM documents")
 def sca_1(spark, sf):
-    hindi = F.translate(T, "0123456789", V.DEVANAGARI_DIGITS)
+    hindi = F.translate(F.col("text"), "0123456789", V.DEVANAGARI_DIGITS)
     return docs(spark, sf).select("doc_id", F.md5(X.ascii_digits(hindi).cast("binary")).alias("h"))
 
 
 @query("sca_2", "SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS h FROM documents")
 def sca_2(spark, sf):
-    return docs(spark, sf).select("doc_id", F.md5(X.label_form(T).cast("binary")).alias("h"))
+    return docs(spark, sf).select("doc_id", F.md5(X.label_form(F.col("text")).cast("binary")).alias("h"))
 
 
 BOXES = f"SELECT {K}, x_min, y_min, x_max, y_max, CASE WHEN block_idx % 7 = 0 THEN 2 ELSE 4 END AS points FROM {{ocr_blocks_v}}"
@@ -96,14 +95,14 @@ def sca_6(spark, sf):
 @query("sca_7")
 def sca_7(spark, sf):
     """Digit repair needs look-around, which the checker's regex engine lacks."""
-    damaged = F.translate(T, "01", "OI")
+    damaged = F.translate(F.col("text"), "01", "OI")
     return docs(spark, sf).select("doc_id", F.md5(X.repair_digits(damaged).cast("binary")).alias("h"))
 
 
 @query("sca_8")
 def sca_8(spark, sf):
     """Contact repair needs look-behind as well; covered by fixtures."""
-    return docs(spark, sf).select("doc_id", F.md5(X.repair_contact(T).cast("binary")).alias("h"))
+    return docs(spark, sf).select("doc_id", F.md5(X.repair_contact(F.col("text")).cast("binary")).alias("h"))
 
 
 TOLL = re2(V.TOLL_FREE)
@@ -114,21 +113,21 @@ TOLL = re2(V.TOLL_FREE)
 def sca_9(spark, sf):
     ascii_only = lambda p: p.replace("(?U)", "")
     return docs(spark, sf).select(
-        "doc_id", X.first_match(T, ascii_only(V.TOLL_FREE)).alias("toll_free"),
-        X.first_match(T, ascii_only(V.MOBILE)).alias("mobile"), X.first_match(T, ascii_only(V.LANDLINE)).alias("landline"),
+        "doc_id", X.first_match(F.col("text"), ascii_only(V.TOLL_FREE)).alias("toll_free"),
+        X.first_match(F.col("text"), ascii_only(V.MOBILE)).alias("mobile"), X.first_match(F.col("text"), ascii_only(V.LANDLINE)).alias("landline"),
     )
 
 
 @query("sca_9_blocks", f"""SELECT {K}, CASE WHEN contains(text, '1800-100-1000') THEN '1800-100-1000' END AS phone FROM {{ocr_blocks_v}}""")
 def sca_9_blocks(spark, sf):
-    return blocks(spark, sf).select(*KEY, EX.block_phone(X.strip(T)).alias("phone"))
+    return blocks(spark, sf).select(*KEY, EX.block_phone(X.strip(F.col("text"))).alias("phone"))
 
 
 @query("sca_10", f"""SELECT doc_id, nullif(regexp_extract(text, '{re2(V.EMAIL)}'), '') AS email, nullif(regexp_extract(text, '{re2(V.WEBSITE)}'), '') AS website FROM documents""")
 def sca_10(spark, sf):
     plain = lambda p: p.replace("(?iU)", "(?i)").replace("(?U)", "")
     return docs(spark, sf).select(
-        "doc_id", X.first_match(T, plain(V.EMAIL)).alias("email"), X.first_match(T, plain(V.WEBSITE)).alias("website")
+        "doc_id", X.first_match(F.col("text"), plain(V.EMAIL)).alias("email"), X.first_match(F.col("text"), plain(V.WEBSITE)).alias("website")
     )
 
 
@@ -137,13 +136,13 @@ SUFFIX = re2(V.COMPANY_SUFFIX)
 
 @query("sca_11", f"SELECT {K}, nullif(trim(regexp_extract(text, '{SUFFIX}', 1)), '') AS name, nullif(trim(regexp_extract(text, '{SUFFIX}', 2)), '') AS rest FROM {{ocr_blocks_v}}")
 def sca_11(spark, sf):
-    return blocks(spark, sf).select(*KEY, X.company_name(T).alias("name"), X.company_rest(T).alias("rest"))
+    return blocks(spark, sf).select(*KEY, X.company_name(F.col("text")).alias("name"), X.company_rest(F.col("text")).alias("rest"))
 
 
 @query("sca_12", f"""SELECT {K}, NOT {m('lower(text)', '|'.join(V.TRADEMARK_WORDS))} AND NOT contains(text, '@') AND NOT {m('trim(text)', V.COMPANY_REJECT)}
   AND NOT {m('trim(text)', V.COMPANY_REJECT_START)} AS company FROM {{ocr_blocks_v}}""")
 def sca_12(spark, sf):
-    return blocks(spark, sf).select(*KEY, X.is_company(T).alias("company"))
+    return blocks(spark, sf).select(*KEY, X.is_company(F.col("text")).alias("company"))
 
 
 ADDRESS = "|".join(rf"\b{w}\b" if len(w) <= 3 else w for w in V.ADDRESS_WORDS)
@@ -151,7 +150,7 @@ ADDRESS = "|".join(rf"\b{w}\b" if len(w) <= 3 else w for w in V.ADDRESS_WORDS)
 
 @query("sca_13", f"SELECT {K}, regexp_matches(lower(text), '{ADDRESS}') AS address FROM {{ocr_blocks_v}}")
 def sca_13(spark, sf):
-    return blocks(spark, sf).select(*KEY, X.is_address(T).alias("address"))
+    return blocks(spark, sf).select(*KEY, X.is_address(F.col("text")).alias("address"))
 
 
 RAW_COUNTRY = """SELECT s.s_suppkey, CASE s.s_suppkey % 8 WHEN 0 THEN 'India' WHEN 1 THEN ' united kingdom. ' WHEN 2 THEN 'CHINA by Acme' WHEN 3 THEN 'origin' WHEN 4 THEN 'Indai'
@@ -185,11 +184,11 @@ SELECT {K}, {m('o.text', V.SECTION_BOUNDARY)} OR coalesce(k.concept IN ({BOUNDAR
   {m("trim(regexp_replace(lower(o.text), '[^a-z0-9]+', ' ', 'g'))", V.COUNTRY_LABEL_LOOSE)} AS country_label
 FROM {{ocr_blocks_v}} o LEFT JOIN k ON k.text = o.text""")
 def sca_16(spark, sf):
-    rows = blocks(spark, sf).withColumn("concept", L.exact_label(T))
+    rows = blocks(spark, sf).withColumn("concept", L.exact_label(F.col("text")))
     c = F.col("concept")
     return rows.select(
-        *KEY, L.is_section_boundary(T, c).alias("boundary"), L.is_field_label(T, c).alias("field_label"),
-        X.looks_like_country_label(T).alias("country_label"),
+        *KEY, L.is_section_boundary(F.col("text"), c).alias("boundary"), L.is_field_label(F.col("text"), c).alias("field_label"),
+        X.looks_like_country_label(F.col("text")).alias("country_label"),
     )
 
 
@@ -210,7 +209,7 @@ def sca_18(spark, sf):
 @query("sca_19")
 def sca_19(spark, sf):
     """Unlabelled-name test of every block (letter classes and look-around differ in the checker)."""
-    return blocks(spark, sf).select(*KEY, EX.plausible_plain_name(X.strip(T), F.col("confidence")).alias("plain_name"))
+    return blocks(spark, sf).select(*KEY, EX.plausible_plain_name(X.strip(F.col("text")), F.col("confidence")).alias("plain_name"))
 
 
 _any = lambda words: "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
@@ -218,7 +217,7 @@ _any = lambda words: "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in
 
 @query("sca_21", f"""SELECT {K}, CASE WHEN {_any(V.ROLE_MAKER)} THEN 4 WHEN {_any(V.ROLE_MARKETER)} THEN 3 WHEN {_any(V.ROLE_OFFICE)} THEN 2 ELSE 0 END AS score FROM {{ocr_blocks_v}}""")
 def sca_21(spark, sf):
-    return blocks(spark, sf).select(*KEY, X.role_score(T).alias("score"))
+    return blocks(spark, sf).select(*KEY, X.role_score(F.col("text")).alias("score"))
 
 
 def _ratio_rows(spark, sf):
@@ -249,7 +248,7 @@ ASCII = "SELECT doc_id, regexp_replace(text, '[^ -~]+', ' '{g}) AS text FROM {{d
 
 @query("sca_25", f"SELECT doc_id, md5(trim(regexp_replace(text, '{re2(V.BOUNDARY_KEYWORDS)}.*$', ''))) AS h FROM ({ASCII.format(g=", 'g'")}) d")
 def sca_25(spark, sf):
-    return sql_on(spark, sf, ASCII.format(g="")).select("doc_id", F.md5(X.cut_at_boundary(T).cast("binary")).alias("h"))
+    return sql_on(spark, sf, ASCII.format(g="")).select("doc_id", F.md5(X.cut_at_boundary(F.col("text")).cast("binary")).alias("h"))
 
 
 DAMAGED = """SELECT product_id AS scan_id, 0 AS image_idx, cast(product_key AS int) AS block_idx, product_key, CASE product_key % 5 WHEN 0 THEN 'Manufacturcd by ' || coalesce(manufacturer_name, 'X')
