@@ -4,8 +4,10 @@ Every document's shingle set is sketched by its ``k`` smallest 64-bit hashes. Do
 classes are compared. Retained values are ordered by their number of classes; a class is listed under its rarest
 values only, as many as a pair with half of its retained values in common must share one of (such a pair is
 found with certainty; a pair of similarity 0.85 has fewer than half in common with probability below 1e-6 at
-k = 32). A list is not expanded into pairs: all its classes are compared with one pivot, and only classes that
-are still in different components are compared again, under new pivots, and at last with one another.
+k = 32). The classes of a short list are compared with one another. A long list is not expanded into pairs: its
+classes are compared with one pivot, the class with the largest share of shingles that others have too, and only
+classes that are still in different components are compared again. There the shingles that a class has alone
+bound what it can have in common with any other, which rules most pairs of a large group out.
 The sketch of the union of both sets (its k smallest values) estimates the similarity of a pair; pairs well
 below the threshold go, the others are decided on the full sets.
 """
@@ -25,8 +27,8 @@ SHINGLE, K = 5, 32
 PERCENT = 85
 #: A pair is dropped unverified if the union sketch puts it this far below the threshold (5 standard deviations).
 SLACK = 5 * (0.85 * 0.15 / K) ** 0.5
-#: Rounds of pivots; lists whose classes are in different components after them are compared in full.
-ROUNDS = 3
+#: Classes of a short list; rounds of pivots in long lists, whose open pairs are compared in full after them.
+SHORT, ROUNDS = 64, 3
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -120,31 +122,81 @@ def _lists(classes: DataFrame) -> DataFrame:
     return listed.select(F.col("x.value").alias("value"), "key", "n")
 
 
-def _pairs(lists: DataFrame, pivots: DataFrame | None, percent: int) -> DataFrame:
-    """Distinct pairs (a < b) of classes in one list whose sizes allow a link: with the pivots, or all."""
-    other = lists if pivots is None else pivots
-    others = other.select("value", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+def _pairs(lists: DataFrame, others: DataFrame, percent: int, more=None) -> DataFrame:
+    """Distinct pairs (a < b) of a class and another one (columns with a 2) of its list, if their sizes allow a link."""
     near = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
-    met = lists.join(others, "value").where((F.col("key") != F.col("key2")) & (F.col("comp") != F.col("comp2")) & near)
+    met = lists.join(others, "value").where((F.col("key") != F.col("key2")) & near & (F.lit(True) if more is None else more))
     return met.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
 
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links on their full sets."""
+def _second(lists: DataFrame) -> DataFrame:
+    return lists.select("value", *[F.col(c).alias(f"{c}2") for c in lists.columns if c != "value"])
+
+
+def _sets(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, hashes): full sets of the given classes, from their smallest documents."""
+    # one id may stand for texts of several classes
+    wanted = classes.join(keys, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    texts = pick(docs, doc_id="long", text="string").join(wanted, "doc_id").select("doc_id", "text", "keys")
+    return staged(texts.mapInArrow(_full_sets, "key binary, hashes binary").dropDuplicates(["key"]))
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that the union sketch does not rule out."""
     sketch = classes.select("key", "sketch")
     both = pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     estimate = F.size(F.array_intersect(F.array_intersect(union, "sa"), "sb")) / F.size(union)
-    likely = staged(both.where(estimate >= percent / 100 - SLACK).select("a", "b"))
-    ends = likely.select(F.col("a").alias("key")).union(likely.select(F.col("b").alias("key"))).distinct()
-    # the set of a class comes from its smallest document; one id may stand for texts of several classes
-    wanted = classes.join(ends, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    texts = pick(docs, doc_id="long", text="string").join(wanted, "doc_id").select("doc_id", "text", "keys")
-    sets = staged(texts.mapInArrow(_full_sets, "key binary, hashes binary").dropDuplicates(["key"]))
+    return staged(both.where(estimate >= percent / 100 - SLACK).select("a", "b"))
+
+
+def _links(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links on their full sets."""
     full = likely.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b").select("a", "b", "ha", "hb")
     return full.mapInArrow(_similar(percent), "a binary, b binary, linked boolean").where("linked").select("a", "b")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+
+
+def _explode(batches):
+    for batch in batches:
+        lists = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        who = batch.column(0).take(pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists])))
+        yield pa.RecordBatch.from_arrays([who, pa.array(np.concatenate([*lists, np.zeros(0, np.int64)]))], names=["key", "shingle"])
+
+
+def _long_links(lists: DataFrame, classes: DataFrame, docs: DataFrame, links: DataFrame, percent: int, rounds: int) -> DataFrame:
+    """Links between classes of long lists, beside the given ones, as far as components need them."""
+    sets = _sets(docs, classes, lists.select("key").distinct())
+    shingles = sets.mapInArrow(_explode, "key binary, shingle long")
+    common = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("shingle")
+    # c: shingles that another class of long lists has too; no more can be common to a pair
+    shared = shingles.join(common, "shingle").groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    lists = staged(lists.join(shared, "key").where(F.col("c") * 100 >= F.col("n") * percent))
+    possible = F.least("c", "c2") * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
+    done = None
+    for r in range(rounds + 1):
+        labels = components(links)
+        named = lists.join(labels, lists.key == labels.node, "left").select("value", "key", "n", "c", F.coalesce("root", "key").alias("comp"))
+        open_ = named.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("value")
+        named = staged(named.join(open_, "value"))
+        if not named.limit(1).count():
+            break
+        others = named
+        if r < rounds:
+            # the best class that was not the pivot of its list before
+            fresh = named.join(done, ["value", "key"], "left_anti") if done is not None else named
+            best = fresh.groupBy("value").agg(F.min(F.struct((-F.col("c") / F.col("n")).alias("x"), "key", "n", "c", "comp")).alias("p"))
+            others = staged(best.select("value", "p.key", "p.n", "p.c", "p.comp"))
+            now = others.select("value", "key")
+            done = now if done is None else done.union(now)
+        pairs = _pairs(named, _second(others), percent, possible & (F.col("comp") != F.col("comp2")))
+        links = staged(links.union(_links(_likely(pairs, classes, percent), sets, percent)).distinct())
+    return links
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
 
@@ -157,26 +209,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUND
     smallest = F.min(F.struct("doc_id", "n", "sketch")).alias("x")
     classes = staged(full.groupBy("key").agg(smallest).select("key", "x.doc_id", "x.n", "x.sketch"))
     lists = staged(_lists(classes))
+    sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("classes"))
+    short = lists.join(sizes.where(F.col("classes").between(2, SHORT)).select("value"), "value")
+    likely = _likely(_pairs(short, _second(short), percent), classes, percent)
     # texts of one doc_id are linked by it
     ids = full.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("doc_id", "a")
-    links = staged(full.join(ids, "doc_id").where("key <> a").select("a", F.col("key").alias("b")).distinct())
+    same = full.join(ids, "doc_id").where("key <> a").select("a", F.col("key").alias("b")).distinct()
+    links = staged(_links(likely, _sets(docs, classes, _ends(likely)), percent).union(same).distinct())
+    long_ = staged(lists.join(sizes.where(F.col("classes") > SHORT).select("value"), "value"))
+    if long_.limit(1).count():
+        links = _long_links(long_, classes, docs, links, percent, rounds)
     labels = components(links)
-    for r in range(rounds + 1):
-        named = lists.join(labels, lists.key == labels.node, "left").select("value", "key", "n", F.coalesce("root", "key").alias("comp"))
-        sizes = named.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("value")
-        open_lists = staged(named.join(sizes, "value"))
-        if not open_lists.limit(1).count():
-            break
-        if r < rounds:
-            # the pivot: a class of the list's most linked ones (few links at first), smallest key on ties
-            degree = links.select(F.col("a").alias("key")).union(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("links"))
-            ranked = open_lists.join(degree, "key", "left").select("value", F.struct(-F.coalesce("links", F.lit(0)), "key", "n", "comp").alias("x")) if r else open_lists.select("value", F.struct("key", "n", "comp").alias("x"))
-            pivots = ranked.groupBy("value").agg(F.min("x").alias("x")).select("value", "x.key", "x.n", "x.comp")
-            pairs = _pairs(open_lists, pivots, percent)
-        else:
-            pairs = _pairs(open_lists, None, percent)
-        links = staged(links.union(_links(pairs, classes, docs, percent)).distinct())
-        labels = components(links)
     roots = classes.join(labels, classes.key == labels.node, "left").select("key", "doc_id", F.coalesce("root", "key").alias("comp"))
     least = roots.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = roots.join(least, "comp").select("key", "component_id")
