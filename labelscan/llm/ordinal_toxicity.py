@@ -22,7 +22,10 @@ from labelscan.llm.common import pick
 #: document may give to the fit (those with the smallest hashes), documents that must hold a word, grades.
 SAMPLE, SAMPLE_WORDS, LEAST_DOCS, GRADES = 6000, 2000, 8, 3
 #: Strength of the L1 penalty and steps of the fit.
-PENALTY, STEPS = 2e-4, 400
+PENALTY, STEPS = 1e-3, 400
+
+#: Severity from which a document counts as toxic (chosen on held-out labels, many of which are noise).
+TOXIC = 0.25
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -108,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, severity double, toxic boolean (severity of 0.5 or more) of every row of ``docs`` (doc_id, text).
+    """doc_id, severity double, toxic boolean (severity of TOXIC or more) of every row of ``docs`` (doc_id, text).
 
     Null and empty texts have the severity of a text without known words. Without labels all severities come
     from the first thresholds and nothing is toxic. Repeated rows are judged row by row.
@@ -120,6 +123,6 @@ def severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
         judge = Model(*shared.value)
         for batch in batches:
             found = judge.severity(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array(found >= 0.5)], names=["doc_id", "severity", "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array(found >= TOXIC)], names=["doc_id", "severity", "toxic"])
 
     return pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, severity double, toxic boolean")

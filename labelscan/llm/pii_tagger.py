@@ -23,7 +23,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, and between windows; characters kept on both sides of a trigger.
 WIDTH, STRIDE, MARGIN = 48, 24, 20
 #: Windows that the model is trained on (those with the smallest hashes), passes over them, sizes of the model.
-TRAIN_WINDOWS, EPOCHS, EMBED, HIDDEN, BATCH = 3000, 6, 12, 16, 64
+TRAIN_WINDOWS, EPOCHS, EMBED, HIDDEN, BATCH = 3000, 8, 12, 16, 64
 #: Shortest span that the model may add.
 LEAST = 6
 
@@ -221,7 +221,7 @@ class Tagger:
                 loss, g = self.gradients(chars[order[i : i + BATCH]], tags[order[i : i + BATCH]])
                 total.append(loss)
                 k += 1
-                rate = 0.02 / (1 + epoch)
+                rate = 0.02 * 0.75**epoch
                 for x in self.p:
                     m[x] += 0.1 * (g[x] - m[x])
                     v[x] += 0.001 * (g[x] ** 2 - v[x])

@@ -74,10 +74,10 @@ def n_repeat_words(w: Column) -> Column:
 
 
 def shouted(text: Column) -> Column:
-    """Share of capitals among the ASCII letters (0 without letters)."""
+    """Whether capitals are more than their share of the ASCII letters."""
     capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
     small = F.length(text) - F.length(F.translate(text, "abcdefghijklmnopqrstuvwxyz", ""))
-    return F.when(capitals + small > 0, capitals / (capitals + small)).otherwise(F.lit(0.0))
+    return capitals > (capitals + small) * MOST_SHOUTED
 
 
 def rules(text: str = "text", counts: dict[str, str] | None = None) -> dict[str, Column]:
@@ -95,8 +95,8 @@ def rules(text: str = "text", counts: dict[str, str] | None = None) -> dict[str,
         "repeated_words": of["n_repeat_words"] * 100 > n * int(100 * MOST_REPEATED),
         "symbols": of["n_symbols"] > n * MOST_SYMBOLS,
         "repeated_lines": of["n_dup_lines"] > n_lines * MOST_DUP_LINES,
-        "shouting": shouted(t) > MOST_SHOUTED,
-        "word_length": ~(of["word_chars"] / n).between(*WORD_LENGTHS) & (n > 0),
+        "shouting": shouted(t),
+        "word_length": ~of["word_chars"].between(n * WORD_LENGTHS[0], n * WORD_LENGTHS[1]) & (n > 0),
     }
 
 
