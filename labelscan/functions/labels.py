@@ -41,12 +41,6 @@ def canonical_label(c: Column) -> Column:
     return F.coalesce(exact, fuzzy_label(open_text))
 
 
-def label_dictionary(spark) -> DataFrame:
-    """The label dictionary as a table (a fixed list of about 140 short rows)."""
-    rows = [(i, c, v) for i, (c, v) in enumerate(VARIANTS)]
-    return spark.createDataFrame(rows, "label_ord int, concept string, variant string")
-
-
 def is_section_boundary(c: Column, concept: Column) -> Column:
     """SCA-16: header pattern, or a concept that is no entity; ``concept`` from JN-8."""
     return has(c, V.SECTION_BOUNDARY) | F.coalesce(concept.isin(V.BOUNDARY_CONCEPTS), F.lit(False))
@@ -79,6 +73,6 @@ def valid_country(c: Column) -> Column:
 
 
 __all__ = [
-    "compact", "exact_label", "canonical_label", "label_dictionary", "is_section_boundary",
+    "compact", "exact_label", "canonical_label", "is_section_boundary",
     "is_field_label", "country_candidate", "valid_country", "looks_like_country_label", "null_if_empty",
 ]

@@ -120,7 +120,7 @@ def month_number(raw: Column) -> Column:
     number_of = F.create_map(*[F.lit(x) for kv in MONTH_PREFIXES.items() for x in kv])
     # anything that is neither a known prefix nor digits has no number
     digits = F.lpad(F.regexp_extract(m, r"^0*(\d+)$", 1), 2, "0")
-    return F.coalesce(F.try_element_at(number_of, m), F.nullif(digits, F.lit("00")))
+    return F.coalesce(F.try_element_at(number_of, m), F.when(m.rlike(r"^\d+$"), digits))
 
 
 def year_number(raw: Column) -> Column:

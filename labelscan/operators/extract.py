@@ -225,13 +225,12 @@ def tag(kept: DataFrame) -> DataFrame:
     exact, short = L.exact_label(t), L.compact(t)
     low = L.country_candidate(t)
     plain = plausible_plain_name(t, F.col("conf"))
-    # a value next to an explicit label needs the header test as well
-    wants_header = plain | (F.length(t) <= 80)
+    # a value next to an explicit label needs the header test as well, whatever its length
     staged = kept.select(
         "*", exact.alias("exact"), low.alias("country_low"), plain.alias("plain_name"),
         F.when(exact.isNull() & (F.length(short) >= V.LABEL_FUZZY_LENGTH), short).alias("open_label"),
         F.when(~low.isin(V.COUNTRIES), low).alias("open_country"),
-        F.when(wants_header & exact.isNull(), name_tokens(t)).alias("name_tokens"),
+        F.when(exact.isNull(), name_tokens(t)).alias("name_tokens"),
     )
     scored = staged.select(
         *kept.columns, "exact", "country_low", "plain_name",
@@ -612,9 +611,14 @@ def completeness(fields: DataFrame) -> DataFrame:
     return fields.select("*", score.alias("completeness"), grade.alias("extraction_confidence"))
 
 
-def extract_fields(blocks: DataFrame, quality: DataFrame | None = None, calibration: float | None = None) -> DataFrame:
+def extract_fields(
+    blocks: DataFrame, quality: DataFrame | None = None, calibration: float | None = None, images: DataFrame | None = None
+) -> DataFrame:
     """EXT-13: all fields of every image, one row per image.
 
+    Images are those of ``blocks``, however unsure their text is, and those of ``images`` (scan_id, image_idx),
+    which may have no block at all; without a usable block the mean confidence is 0.
+
     ``quality`` (scan_id, image_idx, quality_status) is optional and left-joined.
     """
     from labelscan.operators.maker import extract_maker
@@ -622,8 +626,10 @@ def extract_fields(blocks: DataFrame, quality: DataFrame | None = None, calibrat
     tagged = staged(tag(prepare(blocks)))
     wide = widen(winning_matches(tagged))
     maker = extract_maker(tagged, prepare(blocks, None))
-    images = tagged.groupBy(*IMAGE).agg(F.avg("conf").alias("mean_conf"))
-    base = staged(images.join(wide, IMAGE, "left").join(maker, IMAGE, "left"))
+    every = blocks.select(*IMAGE) if images is None else blocks.select(*IMAGE).union(images.select(*IMAGE))
+    usable = tagged.groupBy(*IMAGE).agg(F.avg("conf").alias("mean_conf"))
+    known = every.distinct().join(usable, IMAGE, "left").withColumn("mean_conf", F.coalesce("mean_conf", F.lit(0.0)))
+    base = staged(known.join(wide, IMAGE, "left").join(maker, IMAGE, "left"))
     plain = first_match_wins(plain_names(tagged, base)).select(*IMAGE, F.col("value").alias("plainName"))
     fonts = font_heights(tagged, calibration)
     full = base.join(plain, IMAGE, "left").join(fonts, IMAGE, "left")

@@ -105,9 +105,9 @@ def _latest() -> list[Column]:
 
 
 def page(scans: DataFrame, user_id: str | None = None, page: int = 1, limit: int = 20) -> DataFrame:
-    """SRT-1: one page, newest first; ties by scan id. ``limit`` is clamped to 1..100."""
-    limit = max(1, min(100, limit))
-    page = max(1, page)
+    """SRT-1: one page, newest first; ties by scan id. ``limit`` must be 1 to 100, ``page`` 1 or more."""
+    if not 1 <= limit <= 100 or page < 1:
+        raise ValueError("limit must be 1 to 100 and page 1 or more")
     return of_user(scans, user_id).orderBy(*_latest()).offset((page - 1) * limit).limit(limit)
 
 
@@ -118,8 +118,6 @@ def numbered_page(
 
     The page has at most 100 rows, so the ordering window sees only those.
     """
-    limit = max(1, min(100, limit))
-    page_no = max(1, page_no)
     rows = page(scans, user_id, page_no, limit)
     number = F.row_number().over(Window.orderBy(*_latest())) + F.lit((page_no - 1) * limit)
     return rows.withColumn("row_number", number)

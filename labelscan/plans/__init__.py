@@ -3,7 +3,7 @@
 import importlib
 
 _MODULES = [
-    "rule_queries", "scan_queries", "analytics_queries", "adapter_queries", "text_queries",
+    "rule_queries", "scan_queries", "adapter_queries", "text_queries",
     "merge_queries", "extract_queries", "stream_queries",
 ]
 
@@ -13,6 +13,5 @@ def all_queries():
     from labelscan.plans import registry
 
     for name in _MODULES:
-        if importlib.util.find_spec(f"labelscan.plans.{name}"):
-            importlib.import_module(f"labelscan.plans.{name}")
+        importlib.import_module(f"labelscan.plans.{name}")
     return registry.QUERIES, registry.ORACLES

@@ -33,10 +33,12 @@ _OWN_FOLDER: dict[str, str] = {}
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where it is unset."""
+    """The shared folder the cluster names; a temporary one only where it is unset and all runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_FOLDER:
         _OWN_FOLDER[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
