@@ -14,14 +14,12 @@ to cannot drive rates up, because of the ridge and the upper bound.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelscan.llm.common import pick, staged
+from labelscan.llm.common import IS_SPACE, pick, row_slices, staged, text_bytes, word_hashes
 
 #: Domains and their target shares of the tokens.
 TARGETS = {"good": 0.90, "poor": 0.07, "toxic": 0.03}
@@ -30,7 +28,15 @@ SAMPLE, FEATURES = 4000, 4096
 #: Largest rate of a document, share of the ridge, gradient steps at most, and the relative error that ends them.
 MOST, RIDGE, STEPS, CLOSE = 4.0, 0.005, 40, 1e-6
 
-_PIECE = re.compile(r"[^\W\d_]+|[^\w\s]+|\d+")
+#: Kinds of bytes: white space, letters (all of UTF-8 beyond ASCII among them), digits, other signs.
+KIND = np.full(256, 3, np.uint8)
+KIND[IS_SPACE] = 0
+KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+KIND[48:58] = 2
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Places that the looks of pieces take; words come after them.
+LOOKS = 64
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -39,37 +45,44 @@ def domain_of(labels: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.max("toxic").alias("t"), F.min("quality").alias("q")).select("doc_id", F.when(F.col("t") > 0, "toxic").when(F.col("q") > 0, "good").otherwise("poor").alias("domain"))
 
 
-class Features:
-    """Hashed features of a text: its words, and for its look the kinds of its pieces, as relative weights."""
-
-    def __init__(self, size: int = FEATURES):
-        self.size, self.known = size, {}
-
-    def _place(self, piece: str) -> int:
-        at = self.known.get(piece)
-        if at is None:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            if piece[0].isalpha():
-                look = "A" if piece.isupper() and len(piece) > 1 else "a"
-                name = piece.lower()
-            else:
-                look = name = piece[:2] if not piece[0].isdigit() else "0"
-            place = 0
-            for c in name.encode():
-                place = (place * 257 + c + 1) % 2_147_483_647
-            at = self.known[piece] = (place % (self.size - 64) + 64, sum(look.encode()) % 64)
-        return at
-
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and weights: presence of words (damped by their number), shares of the looks."""
-        pieces = _PIECE.findall(text or "")
-        if not pieces:
-            return np.zeros(0, np.int64), np.zeros(0)
-        words, looks = np.array([self._place(p) for p in pieces]).T
-        words = np.unique(words)
-        looks, counts = np.unique(looks, return_counts=True)
-        return np.concatenate([words, looks]), np.concatenate([np.full(len(words), 1 / np.sqrt(len(words))), 4 * counts / len(pieces)])
+def features(column: pa.Array, size: int = FEATURES):
+    """(first row, last row, rows, places, weights, tokens) of slices of a text column.
+
+    A text's features are its words (presence, damped by their number) and the looks of its pieces (capitals or
+    other letters, digits, the first two signs) as shares. A piece is a run of bytes of one kind; all digits are
+    one word. ``rows``, ``places`` and ``weights`` are in the order of rows; tokens are the words between ASCII
+    white space.
+    """
+    data, offs = text_bytes(column)
+    for i, j in row_slices(offs):
+        part, local, n = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], j - i
+        kind = KIND[part]
+        edge, row_start = np.ones(len(part) + 1, bool), np.zeros(len(part) + 1, bool)
+        edge[1:-1] = kind[1:] != kind[:-1]
+        edge[local] = row_start[local] = True
+        at = np.flatnonzero(edge)
+        starts, ends = at[:-1], at[1:]
+        full = kind[starts] != 0
+        starts, ends = starts[full], ends[full]
+        kinds, owner = kind[starts], np.searchsorted(local, starts, side="right") - 1
+        tokens = np.bincount(owner[row_start[starts] | (kind[starts - 1] == 0)], minlength=n)
+        signs = kinds == 3
+        hashes = word_hashes(_LOWER[part], starts, np.where(signs, np.minimum(starts + 2, ends), ends))
+        hashes[kinds == 2] = 0
+        words = np.unique(owner * size + (hashes % np.uint64(size - LOOKS)).astype(np.int64) + LOOKS)
+        capital = np.zeros(len(part) + 1, np.int64)
+        np.cumsum((part >= 65) & (part <= 90), out=capital[1:])
+        shout = (capital[ends] - capital[starts] == ends - starts) & (ends - starts > 1)
+        look = np.where(kinds == 2, 2, shout).astype(np.int64)
+        two = part[starts[signs]].astype(np.int64) + np.where(ends[signs] - starts[signs] > 1, part[np.minimum(starts[signs] + 1, len(part) - 1)], 0)
+        look[signs] = 3 + two % (LOOKS - 3)
+        pieces, shares = np.bincount(owner, minlength=n), np.bincount(owner * LOOKS + look, minlength=n * LOOKS)
+        looks = np.flatnonzero(shares)
+        word_row, look_row = words // size, looks // LOOKS
+        weights = np.concatenate([1 / np.sqrt(np.bincount(word_row, minlength=n))[word_row], 4 * shares[looks] / pieces[look_row]]) if len(words) else np.zeros(0)
+        rows, places = np.concatenate([word_row, look_row]), np.concatenate([words % size, looks % LOOKS])
+        order = np.argsort(rows, kind="stable")
+        yield i, j, rows[order], places[order], weights[order], tokens
 
 
 def fit_classifier(rows: list[tuple[list[int], list[float], int]], domains: int, size: int = FEATURES, steps: int = 300) -> np.ndarray:
@@ -77,16 +90,18 @@ def fit_classifier(rows: list[tuple[list[int], list[float], int]], domains: int,
     w = np.zeros((size + 1, domains))
     if not rows:
         return w
-    place = np.concatenate([np.append(np.array(a, np.int64), size) for a, _, _ in rows])
-    value = np.concatenate([np.append(np.array(b), 1.0) for _, b, _ in rows])
-    row = np.repeat(np.arange(len(rows)), [len(a) + 1 for a, _, _ in rows])
+    # at most ``SAMPLE`` by ``FEATURES`` numbers
+    x = np.zeros((len(rows), size + 1), np.float32)
+    x[:, size] = 1
+    for k, (places, values, _) in enumerate(rows):
+        x[k, places] = values
     truth = np.eye(domains)[[d for _, _, d in rows]]
     v, before, rate = w.copy(), w.copy(), 0.3
     for k in range(steps):
-        score = np.stack([np.bincount(row, weights=value * v[place, d], minlength=len(rows)) for d in range(domains)], axis=1)
+        score = x @ v.astype(np.float32)
         p = np.exp(score - score.max(axis=1, keepdims=True))
         wrong = (p / p.sum(axis=1, keepdims=True) - truth) / len(rows)
-        g = np.stack([np.bincount(place, weights=value * wrong[row, d], minlength=size + 1) for d in range(domains)], axis=1)
+        g = x.T @ wrong.astype(np.float32)
         w = v - rate * 4 * (g + 1e-5 * v)
         v, before = w + k / (k + 3) * (w - before), w
     return w
@@ -96,16 +111,14 @@ def _posteriors(weights: np.ndarray, at: int, size: int):
     """Adds tokens (words of the text) and p (posteriors) to every row."""
 
     def run(batches):
-        features = Features(size)
+        domains = weights.shape[1]
         for batch in batches:
-            tokens, p = [], []
-            for text in batch.column(at).to_pylist():
-                place, value = features(text)
-                score = value @ weights[place] + weights[-1] if len(place) else weights[-1]
-                e = np.exp(score - score.max())
-                p.append((e / e.sum()).tolist())
-                tokens.append(len(text.split()) if text else 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.int64()), pa.array(p, pa.list_(pa.float64()))], names=[*batch.schema.names, "tokens", "p"])
+            for i, j, rows, places, values, tokens in features(batch.column(at), size):
+                score = weights[-1] + np.stack([np.bincount(rows, weights=values * weights[places, d], minlength=j - i) for d in range(domains)], axis=1)
+                e = np.exp(score - score.max(axis=1, keepdims=True))
+                p = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * domains, pa.int32()), pa.array((e / e.sum(axis=1, keepdims=True)).ravel()))
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tokens, pa.int64()), p], names=[*batch.schema.names, "tokens", "p"])
 
     return run
 
@@ -116,13 +129,15 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], sample: i
     chosen = domain_of(labels).where(F.col("domain").isin(domains)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def examples(batches):
-        features = Features(size)
         for batch in batches:
-            found = [features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([a.tolist() for a, _ in found], pa.list_(pa.int64())), pa.array([b.tolist() for _, b in found], pa.list_(pa.float64())), batch.column(1)], names=["a", "b", "domain"])
-
-    # at most ``sample`` ids: small by construction
-    known = rows.join(F.broadcast(chosen), "doc_id").select("text", "domain").mapInArrow(examples, "a array<long>, b array<double>, domain string").limit(2 * sample).collect()
+            for i, j, row, places, values, _ in features(batch.column(0), size):
+                offs = pa.array(np.searchsorted(row, np.arange(j - i + 1)), pa.int32())
+                a, b = (pa.ListArray.from_arrays(offs, pa.array(x)) for x in (places, values))
+                yield pa.RecordBatch.from_arrays([a, b, batch.column(1).slice(i, j - i)], names=["a", "b", "domain"])
+
+    # at most ``sample`` ids, hence as many examples: small by construction
+    known = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("domain").alias("domain"))
+    known = known.select("text", "domain").mapInArrow(examples, "a array<long>, b array<double>, domain string").collect()
     weights = fit_classifier(sorted((r.a, r.b, domains.index(r.domain)) for r in known), len(domains), size)
     return rows.mapInArrow(_posteriors(weights, 1, size), f"{_schema(rows)}, tokens long, p array<double>")
 
@@ -133,8 +148,8 @@ def _schema(rows: DataFrame) -> str:
 
 def _columns(batch: pa.RecordBatch, names: tuple[str, str]) -> tuple[np.ndarray, np.ndarray]:
     tokens = batch.column(batch.schema.names.index(names[0])).to_numpy(zero_copy_only=False).astype(float)
-    p = batch.column(batch.schema.names.index(names[1]))
-    return tokens, np.array(p.to_pylist()).reshape(len(tokens), -1) if len(tokens) else np.zeros((0, 1))
+    p = batch.column(batch.schema.names.index(names[1])).flatten()
+    return tokens, p.to_numpy(zero_copy_only=False).reshape(len(tokens), -1) if len(tokens) else np.zeros((0, 1))
 
 
 def rates_after(mass: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
@@ -190,7 +205,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     targets = targets or TARGETS
     domains = list(targets)
     rows = staged(posteriors(docs, labels, domains, sample, keep=keep))
-    steps, scale = fit_rates(rows, np.array([targets[d] for d in domains]))
+    # the steps read a table of their own without texts, whose small files share tasks
+    steps, scale = fit_rates(staged(rows.select("tokens", "p")), np.array([targets[d] for d in domains]))
 
     def rate(batches):
         for batch in batches:
