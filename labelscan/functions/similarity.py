@@ -7,6 +7,7 @@ null for rows that an exact test has already settled, so few rows are scored.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -39,14 +40,41 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def closest_label(compact: str) -> str | None:
-    """Concept of the most similar long label variant, from 0.82 on; first best wins."""
-    best, best_score = None, 0.0
-    for concept, variant in LONG_VARIANTS:
-        score = ratio(compact[: len(variant) + 2], variant)
-        if score >= V.LABEL_FUZZY_RATIO and score > best_score:
-            best, best_score = concept, score
-    return best
+class FixedWords:
+    """A fixed list of words, each indexed once, that texts are compared with.
+
+    A text's similarity with a word is bounded from above by their lengths and by their common letters, which
+    settles most words before any blocks are matched. ``extra`` cuts texts to that many letters beyond a word.
+    """
+
+    def __init__(self, words, extra: int | None = None):
+        self.words, self.extra = list(words), extra
+        self.matchers = [SequenceMatcher(None, "", word) for word in self.words]
+
+    def _bounds(self, text: str, least: float):
+        """(upper bound, place) of the words that can reach ``least``."""
+        for place, matcher in enumerate(self.matchers):
+            matcher.set_seq1(text if self.extra is None else text[: len(matcher.b) + self.extra])
+            if matcher.real_quick_ratio() >= least:
+                bound = matcher.quick_ratio()
+                if bound >= least:
+                    yield bound, place
+
+    def closest(self, text: str, least: float) -> int | None:
+        """Place of the most similar word (the first of equals) if it reaches ``least``.
+
+        Words are matched in the order of their bounds, as long as a bound can still beat the best match.
+        """
+        best = (-least, len(self.words))
+        for bound, place in sorted(self._bounds(text, least), key=lambda x: (-x[0], x[1])):
+            if -bound > best[0]:
+                break
+            best = min(best, (-self.matchers[place].ratio(), place))
+        return best[1] if best[1] < len(self.words) else None
+
+    def has(self, text: str, least: float) -> bool:
+        """Whether any word reaches ``least``."""
+        return any(self.matchers[place].ratio() >= least for _, place in self._bounds(text, least))
 
 
 def compact_form(text: str) -> str:
@@ -56,19 +84,34 @@ def compact_form(text: str) -> str:
 VARIANTS = [(c, compact_form(v)) for c, vs in V.CANONICAL_LABELS.items() for v in vs]
 LONG_VARIANTS = [(c, v) for c, v in VARIANTS if len(v) >= V.LABEL_FUZZY_LENGTH]
 
+#: Texts whose answer a worker remembers from batch to batch.
+REMEMBERED = 1 << 16
+LABEL_WORDS = FixedWords((v for _, v in LONG_VARIANTS), extra=2)
+COUNTRY_WORDS = FixedWords(V.COUNTRIES)
+STATUTORY_WORDS = FixedWords(target for target, _ in V.STATUTORY_TARGETS)
+HEADER_WORDS = FixedWords(V.NAME_HEADER_WORDS)
+
+
+@lru_cache(REMEMBERED)
+def closest_label(compact: str) -> str | None:
+    """Concept of the long label variant that the beginning of the text resembles most, if any does."""
+    place = LABEL_WORDS.closest(compact, V.LABEL_FUZZY_RATIO)
+    return None if place is None else LONG_VARIANTS[place][0]
+
 
 @F.pandas_udf(T.StringType())
 def fuzzy_label(compact: pd.Series) -> pd.Series:
     return _per_distinct(compact, closest_label).astype(object)
 
 
+@lru_cache(REMEMBERED)
 def closest_country(value: str) -> str | None:
-    """Known country at least 0.65 similar with the same first three letters."""
-    best = max(V.COUNTRIES, key=lambda c: ratio(value, c))
-    near = ratio(value, best) >= V.COUNTRY_RATIO
-    if near and len(value) >= 4 and value[:3] == best[:3] and len(value) <= len(best) + 2:
-        return best
-    return None
+    """The most similar known country, if it begins alike and is hardly shorter than the value."""
+    place = COUNTRY_WORDS.closest(value, V.COUNTRY_RATIO) if len(value) > 3 else None
+    if place is None:
+        return None
+    country = COUNTRY_WORDS.words[place]
+    return country if country.startswith(value[:3]) and len(country) >= len(value) - 2 else None
 
 
 @F.pandas_udf(T.StringType())
@@ -76,47 +119,25 @@ def fuzzy_country(value: pd.Series) -> pd.Series:
     return _per_distinct(value, closest_country).astype(object)
 
 
-def statutory_target(word: str) -> str | None:
-    """First statutory target word that the (damaged) word resembles."""
-    for target, _ in V.STATUTORY_TARGETS:
-        if ratio(word, target) >= V.CORRUPTED_MIN_RATIO:
-            return target
-    return None
+@lru_cache(REMEMBERED)
+def statutory_like(word: str) -> bool:
+    """The (damaged) word resembles a statutory target word."""
+    return STATUTORY_WORDS.has(word, V.CORRUPTED_MIN_RATIO)
 
 
 @F.pandas_udf(T.IntegerType())
 def first_statutory_word(words: pd.Series) -> pd.Series:
     """Position (0-based) of the first word of an array that resembles a target, else null."""
-    known: dict[str, bool] = {}
-
-    def position(ws):
-        for i, w in enumerate(ws):
-            if w not in known:
-                known[w] = statutory_target(w) is not None
-            if known[w]:
-                return i
-        return None
-
+    position = lambda ws: next((i for i, w in enumerate(ws) if statutory_like(w)), None)
     return pd.Series([None if ws is None else position(ws) for ws in words], dtype="Int32")
 
 
+@lru_cache(REMEMBERED)
 def header_like(token: str) -> bool:
     """The token equals a header word or, from five letters on, resembles one."""
-    if token in V.NAME_HEADER_WORDS:
-        return True
-    return len(token) >= 5 and any(ratio(token, w) >= V.NAME_HEADER_RATIO for w in V.NAME_HEADER_WORDS)
+    return token in V.NAME_HEADER_WORDS or (len(token) >= 5 and HEADER_WORDS.has(token, V.NAME_HEADER_RATIO))
 
 
 @F.pandas_udf(T.BooleanType())
 def any_header_word(tokens: pd.Series) -> pd.Series:
-    known: dict[str, bool] = {}
-
-    def hit(ts):
-        for t in ts:
-            if t not in known:
-                known[t] = header_like(t)
-            if known[t]:
-                return True
-        return False
-
-    return pd.Series([None if ts is None else hit(ts) for ts in tokens], dtype="boolean")
+    return pd.Series([None if ts is None else any(map(header_like, ts)) for ts in tokens], dtype="boolean")
