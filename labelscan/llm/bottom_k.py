@@ -167,8 +167,20 @@ def _explode(batches):
         yield pa.RecordBatch.from_arrays([who, pa.array(np.concatenate([*lists, np.zeros(0, np.int64)]))], names=["key", "shingle"])
 
 
-def _long_links(lists: DataFrame, classes: DataFrame, docs: DataFrame, links: DataFrame, percent: int, rounds: int) -> DataFrame:
-    """Links between classes of long lists, beside the given ones, as far as components need them."""
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, root) of components after more links (a, b), by the components of the roots that they join."""
+    left, right = labels.toDF("a", "ra"), labels.toDF("b", "rb")
+    ends = links.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    moved = components(ends).toDF("old", "new")
+    kept = labels.join(moved, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    return staged(kept.union(moved.join(labels, F.col("old") == F.col("node"), "left_anti").toDF("node", "root")))
+
+
+def _long_labels(lists: DataFrame, classes: DataFrame, docs: DataFrame, labels: DataFrame, percent: int, rounds: int) -> DataFrame:
+    """Labels (node, root) of components with the links between classes of long lists, beside the given ones.
+
+    A round without a new link ends the pivots early; the open pairs are then compared in full.
+    """
     sets = _sets(docs, classes, lists.select("key").distinct())
     shingles = sets.mapInArrow(_explode, "key binary, shingle long")
     common = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("shingle")
@@ -176,16 +188,15 @@ def _long_links(lists: DataFrame, classes: DataFrame, docs: DataFrame, links: Da
     shared = shingles.join(common, "shingle").groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     lists = staged(lists.join(shared, "key").where(F.col("c") * 100 >= F.col("n") * percent))
     possible = F.least("c", "c2") * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
-    done = None
+    done, last = None, rounds == 0
     for r in range(rounds + 1):
-        labels = components(links)
         named = lists.join(labels, lists.key == labels.node, "left").select("value", "key", "n", "c", F.coalesce("root", "key").alias("comp"))
         open_ = named.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("value")
         named = staged(named.join(open_, "value"))
         if not named.limit(1).count():
             break
         others = named
-        if r < rounds:
+        if not last:
             # the best class that was not the pivot of its list before
             fresh = named.join(done, ["value", "key"], "left_anti") if done is not None else named
             best = fresh.groupBy("value").agg(F.min(F.struct((-F.col("c") / F.col("n")).alias("x"), "key", "n", "c", "comp")).alias("p"))
@@ -193,8 +204,14 @@ def _long_links(lists: DataFrame, classes: DataFrame, docs: DataFrame, links: Da
             now = others.select("value", "key")
             done = now if done is None else done.union(now)
         pairs = _pairs(named, _second(others), percent, possible & (F.col("comp") != F.col("comp2")))
-        links = staged(links.union(_links(_likely(pairs, classes, percent), sets, percent)).distinct())
-    return links
+        new = staged(_links(_likely(pairs, classes, percent), sets, percent))
+        found = new.limit(1).count() > 0
+        if found:
+            labels = _joined(labels, new)
+        if last:
+            break
+        last = not found or r + 1 == rounds
+    return labels
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
@@ -217,9 +234,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUND
     same = full.join(ids, "doc_id").where("key <> a").select("a", F.col("key").alias("b")).distinct()
     links = staged(_links(likely, _sets(docs, classes, _ends(likely)), percent).union(same).distinct())
     long_ = staged(lists.join(sizes.where(F.col("classes") > SHORT).select("value"), "value"))
-    if long_.limit(1).count():
-        links = _long_links(long_, classes, docs, links, percent, rounds)
     labels = components(links)
+    if long_.limit(1).count():
+        labels = _long_labels(long_, classes, docs, labels, percent, rounds)
     roots = classes.join(labels, classes.key == labels.node, "left").select("key", "doc_id", F.coalesce("root", "key").alias("comp"))
     least = roots.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = roots.join(least, "comp").select("key", "component_id")
