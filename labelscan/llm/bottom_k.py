@@ -6,14 +6,18 @@ values only, as many as a pair with half of its retained values in common must s
 found with certainty; a pair of similarity 0.85 has fewer than half in common with probability below 1e-6 at
 k = 32). The classes of a short list are compared with one another. A long list is not expanded into pairs: its
 classes are compared with one pivot, the class with the largest share of shingles that others have too, and only
-classes that are still in different components are compared again. There the shingles that a class has alone
-bound what it can have in common with any other, which rules most pairs of a large group out.
+classes that are still in different components are compared again. There the numbers of shingles that
+both classes share with anyone, by bins of the hash, bound what they can have in common, which rules most pairs
+of a large group out.
 The sketch of the union of both sets (its k smallest values) estimates the similarity of a pair; pairs well
 below the threshold go, the others are decided on the full sets.
 """
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +33,8 @@ PERCENT = 85
 SLACK = 5 * (0.85 * 0.15 / K) ** 0.5
 #: Classes of a short list; rounds of pivots in long lists, whose open pairs are compared in full after them.
 SHORT, ROUNDS = 64, 3
+#: Bins of the hash by which the shingles that a class shares are counted.
+BINS = 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -184,13 +190,18 @@ def _long_labels(lists: DataFrame, classes: DataFrame, docs: DataFrame, labels:
     sets = _sets(docs, classes, lists.select("key").distinct())
     shingles = sets.mapInArrow(_explode, "key binary, shingle long")
     common = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("shingle")
-    # c: shingles that another class of long lists has too; no more can be common to a pair
-    shared = shingles.join(common, "shingle").groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    # c: shingles that another class of long lists has too, and their numbers by bins of the hash; no more can be
+    # common to a pair, in any bin
+    in_bin = [F.count_if(F.pmod("shingle", F.lit(BINS)) == i).alias(f"b{i}") for i in range(BINS)]
+    shared = shingles.join(common, "shingle").groupBy("key").agg(F.count(F.lit(1)).alias("c"), *in_bin)
+    shared = shared.select("key", "c", F.struct(*[f"b{i}" for i in range(BINS)]).alias("bins"))
     lists = staged(lists.join(shared, "key").where(F.col("c") * 100 >= F.col("n") * percent))
-    possible = F.least("c", "c2") * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
+    at_most = lambda both: both * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
+    by_bins = reduce(operator.add, [F.least(f"bins.b{i}", f"bins2.b{i}") for i in range(BINS)])
+    possible = at_most(F.least("c", "c2")) & at_most(by_bins)
     done, last = None, rounds == 0
     for r in range(rounds + 1):
-        named = lists.join(labels, lists.key == labels.node, "left").select("value", "key", "n", "c", F.coalesce("root", "key").alias("comp"))
+        named = lists.join(labels, lists.key == labels.node, "left").select("value", "key", "n", "c", "bins", F.coalesce("root", "key").alias("comp"))
         open_ = named.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("value")
         named = staged(named.join(open_, "value"))
         if not named.limit(1).count():
@@ -199,8 +210,8 @@ def _long_labels(lists: DataFrame, classes: DataFrame, docs: DataFrame, labels:
         if not last:
             # the best class that was not the pivot of its list before
             fresh = named.join(done, ["value", "key"], "left_anti") if done is not None else named
-            best = fresh.groupBy("value").agg(F.min(F.struct((-F.col("c") / F.col("n")).alias("x"), "key", "n", "c", "comp")).alias("p"))
-            others = staged(best.select("value", "p.key", "p.n", "p.c", "p.comp"))
+            best = fresh.groupBy("value").agg(F.min(F.struct((-F.col("c") / F.col("n")).alias("x"), "key", "n", "c", "bins", "comp")).alias("p"))
+            others = staged(best.select("value", "p.key", "p.n", "p.c", "p.bins", "p.comp"))
             now = others.select("value", "key")
             done = now if done is None else done.union(now)
         pairs = _pairs(named, _second(others), percent, possible & (F.col("comp") != F.col("comp2")))
