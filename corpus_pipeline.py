@@ -19,6 +19,9 @@ COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "stri
 #: Target shares of the tokens; documents of poor quality are gone by then.
 TARGETS = {"good": 0.97, "toxic": 0.03}
 
+#: Similarity in percent from which documents are near duplicates, and the size of their sketches.
+PERCENT, K = 80, 48
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a quality rule rejects go; null and empty texts are among them."""
@@ -28,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near duplicates the document with the smallest doc_id stays (all rows of that doc_id)."""
     rows = pick(docs, **COLUMNS)
-    gone = near_duplicates(rows).where(~F.col("kept")).select("doc_id").distinct()
+    gone = near_duplicates(rows, PERCENT, k=K).where(~F.col("kept")).select("doc_id").distinct()
     return rows.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

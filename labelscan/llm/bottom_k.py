@@ -2,9 +2,8 @@
 
 Every document's shingle set is sketched by its ``k`` smallest 64-bit hashes. Documents of one set form a class;
 classes are compared. Retained values are ordered by their number of classes; a class is listed under its rarest
-values only, as many as a pair with half of its retained values in common must share one of (such a pair is
-found with certainty; a pair of similarity 0.85 has fewer than half in common with probability below 1e-6 at
-k = 32). The classes of a short list are compared with one another. A long list is not expanded into pairs: its
+values only, as many as a pair with ``least_common`` of its retained values in common must share one of (such a
+pair is found with certainty; a pair at the threshold has fewer in common with probability below MISS). The classes of a short list are compared with one another. A long list is not expanded into pairs: its
 classes are compared with one pivot, the class with the largest share of shingles that others have too, and only
 classes that are still in different components are compared again. There the numbers of shingles that
 both classes share with anyone, by bins of the hash, bound what they can have in common, which rules most pairs
@@ -15,6 +14,7 @@ below the threshold go, the others are decided on the full sets.
 
 from __future__ import annotations
 
+import math
 import operator
 from functools import reduce
 
@@ -29,8 +29,8 @@ from labelscan.llm.common import components, mix, pick, row_slices, staged, text
 SHINGLE, K = 5, 32
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: A pair is dropped unverified if the union sketch puts it this far below the threshold (5 standard deviations).
-SLACK = 5 * (0.85 * 0.15 / K) ** 0.5
+#: Largest chance that a pair at the threshold has fewer retained values in common than it is found by.
+MISS = 1e-6
 #: Classes of a short list; rounds of pivots in long lists, whose open pairs are compared in full after them.
 SHORT, ROUNDS = 64, 3
 #: Bins of the hash by which the shingles that a class shares are counted.
@@ -65,6 +65,19 @@ def shingle_sets(column: pa.Array):
         yield i, j, found, np.searchsorted(owner, np.arange(j - i + 1))
 
 
+def least_common(percent: int, k: int = K) -> int:
+    """The most values of ``k`` that a pair of similarity ``percent`` has in common but for a chance of MISS."""
+    p, below, m = percent / 100, 0.0, 0
+    while m < k and (below := below + math.comb(k, m) * p**m * (1 - p) ** (k - m)) <= MISS:
+        m += 1
+    return max(m, 1)
+
+
+def slack(percent: int, k: int = K) -> float:
+    """A pair is dropped unverified if the union sketch puts it this far below the threshold (5 standard deviations)."""
+    return 5 * (percent / 100 * (1 - percent / 100) / k) ** 0.5
+
+
 def set_key(values: np.ndarray) -> bytes:
     """128 bits that stand for a set of hashes."""
     with np.errstate(over="ignore"):
@@ -72,16 +85,19 @@ def set_key(values: np.ndarray) -> bytes:
     return int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big")
 
 
-def _sketches(batches):
-    for batch in batches:
-        for i, j, values, offs in shingle_sets(batch.column(1)):
-            keys = [set_key(values[a:b]) if b > a else None for a, b in zip(offs[:-1], offs[1:], strict=True)]
-            # signed numbers in the same order
-            signed = (values ^ np.uint64(1 << 63)).view(np.int64)
-            lists = [signed[a : min(b, a + K)] for a, b in zip(offs[:-1], offs[1:], strict=True)]
-            sizes = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-            sketch = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([*lists, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(offs)), pa.array(keys, pa.binary()), sketch], names=["doc_id", "n", "key", "sketch"])
+def _sketches(k: int):
+    def run(batches):
+        for batch in batches:
+            for i, j, values, offs in shingle_sets(batch.column(1)):
+                keys = [set_key(values[a:b]) if b > a else None for a, b in zip(offs[:-1], offs[1:], strict=True)]
+                # signed numbers in the same order
+                signed = (values ^ np.uint64(1 << 63)).view(np.int64)
+                lists = [signed[a : min(b, a + k)] for a, b in zip(offs[:-1], offs[1:], strict=True)]
+                sizes = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+                sketch = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([*lists, np.zeros(0, np.int64)])))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(offs)), pa.array(keys, pa.binary()), sketch], names=["doc_id", "n", "key", "sketch"])
+
+    return run
 
 
 def _full_sets(batches):
@@ -110,20 +126,22 @@ def _similar(percent: int):
     return run
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, k: int = K) -> DataFrame:
     """doc_id, n (shingles), key (of the set; null without words) and sketch of every row."""
-    return pick(docs, doc_id="long", text="string").mapInArrow(_sketches, "doc_id long, n long, key binary, sketch array<long>")
+    return pick(docs, doc_id="long", text="string").mapInArrow(_sketches(k), "doc_id long, n long, key binary, sketch array<long>")
 
 
-def _lists(classes: DataFrame) -> DataFrame:
+def _lists(classes: DataFrame, percent: int, k: int) -> DataFrame:
     """(value, key, n): the classes listed under each of their rarest values, where another class shares it."""
+    wanted = least_common(percent, k)
     values = classes.select("key", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
     common = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = values.join(common, "value")
-    # places 1 to kept - half + 1 in the order of rarity; values of this class alone come first
+    # places 1 to kept - least + 1 in the order of rarity; values of this class alone come first
     per_class = shared.groupBy("key").agg(F.first("n").alias("n"), F.first("kept").alias("kept"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found"))
-    half = F.ceil(F.col("kept") / 2).cast("int")
-    room = F.col("kept") - half + 1 - (F.col("kept") - F.size("found"))
+    # a shorter sketch is a whole set: the same share of it
+    least = F.ceil(F.col("kept") * wanted / k).cast("int")
+    room = F.col("kept") - least + 1 - (F.col("kept") - F.size("found"))
     listed = per_class.where(room > 0).select("key", "n", F.explode(F.slice("found", 1, room)).alias("x"))
     return listed.select(F.col("x.value").alias("value"), "key", "n")
 
@@ -147,13 +165,13 @@ def _sets(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
     return staged(texts.mapInArrow(_full_sets, "key binary, hashes binary").dropDuplicates(["key"]))
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int, k: int = K) -> DataFrame:
     """Pairs that the union sketch does not rule out."""
     sketch = classes.select("key", "sketch")
     both = pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
+    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     estimate = F.size(F.array_intersect(F.array_intersect(union, "sa"), "sb")) / F.size(union)
-    return staged(both.where(estimate >= percent / 100 - SLACK).select("a", "b"))
+    return staged(both.where(estimate >= percent / 100 - slack(percent, k)).select("a", "b"))
 
 
 def _links(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -182,7 +200,7 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return staged(kept.union(moved.join(labels, F.col("old") == F.col("node"), "left_anti").toDF("node", "root")))
 
 
-def _long_labels(lists: DataFrame, classes: DataFrame, docs: DataFrame, labels: DataFrame, percent: int, rounds: int) -> DataFrame:
+def _long_labels(lists: DataFrame, classes: DataFrame, docs: DataFrame, labels: DataFrame, percent: int, rounds: int, k: int) -> DataFrame:
     """Labels (node, root) of components with the links between classes of long lists, beside the given ones.
 
     A round without a new link ends the pivots early; the open pairs are then compared in full.
@@ -215,7 +233,7 @@ def _long_labels(lists: DataFrame, classes: DataFrame, docs: DataFrame, labels:
             now = others.select("value", "key")
             done = now if done is None else done.union(now)
         pairs = _pairs(named, _second(others), percent, possible & (F.col("comp") != F.col("comp2")))
-        new = staged(_links(_likely(pairs, classes, percent), sets, percent))
+        new = staged(_links(_likely(pairs, classes, percent, k), sets, percent))
         found = new.limit(1).count() > 0
         if found:
             labels = _joined(labels, new)
@@ -225,21 +243,21 @@ def _long_labels(lists: DataFrame, classes: DataFrame, docs: DataFrame, labels:
     return labels
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id reachable over links; kept where it equals doc_id. Null or empty
     texts have no shingles and are linked with nothing. Rows of one doc_id count as one document with several
     texts; exact repeats give one row each. A null doc_id takes no part: its component is null and it is kept.
     """
-    rows = staged(sketches(docs))
+    rows = staged(sketches(docs, k))
     full = rows.where("key is not null and doc_id is not null")
     smallest = F.min(F.struct("doc_id", "n", "sketch")).alias("x")
     classes = staged(full.groupBy("key").agg(smallest).select("key", "x.doc_id", "x.n", "x.sketch"))
-    lists = staged(_lists(classes))
+    lists = staged(_lists(classes, percent, k))
     sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("classes"))
     short = lists.join(sizes.where(F.col("classes").between(2, SHORT)).select("value"), "value")
-    likely = _likely(_pairs(short, _second(short), percent), classes, percent)
+    likely = _likely(_pairs(short, _second(short), percent), classes, percent, k)
     # texts of one doc_id are linked by it
     ids = full.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("doc_id", "a")
     same = full.join(ids, "doc_id").where("key <> a").select("a", F.col("key").alias("b")).distinct()
@@ -247,7 +265,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUND
     long_ = staged(lists.join(sizes.where(F.col("classes") > SHORT).select("value"), "value"))
     labels = components(links)
     if long_.limit(1).count():
-        labels = _long_labels(long_, classes, docs, labels, percent, rounds)
+        labels = _long_labels(long_, classes, docs, labels, percent, rounds, k)
     roots = classes.join(labels, classes.key == labels.node, "left").select("key", "doc_id", F.coalesce("root", "key").alias("comp"))
     least = roots.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = roots.join(least, "comp").select("key", "component_id")
