@@ -5,11 +5,16 @@ domains. Nonnegative document rates r are fitted by projected gradient steps to
 
     min |W^(1/2) (sum_i r_i tokens_i p_i - target * tokens)|^2,    0 <= r <= MOST, starting from r = 1,
 
-so that the expected tokens of every domain match the targets. The gradient of a document depends on the data
-only through the vector of the domains' residuals; each step is one aggregation over all documents, and the
-steps so far, a short list of vectors, give back every document's rate without a table per step. W, the inverse of the documents' summed mass products plus
-a ridge, makes 1 a safe step size and lets all domains converge alike; a domain that hardly any document belongs
-to cannot drive rates up, because of the ridge and the upper bound.
+so that the expected tokens of every domain match the targets. W is the inverse of sum_i tokens_i p_i p_i^T plus a
+ridge, a share of every domain's target; both grow with the tokens, not with their squares, and documents are moved
+by their posteriors, so a few very long ones do not hold up the others. A step from W never makes the fit worse.
+Before it a longer step, with the W of the rates inside the bounds and a share of the other, is tried, and taken
+back if it does not bring the fit closer. The steps end when the targets are met or, where the bounds rule that
+out, when the gradient shows that no rates inside the bounds fit better by more than a share GAP; without either
+the fit fails.
+
+A step moves a document by its posteriors times one vector; each is one aggregation over all documents, and the
+steps so far, a short list of vectors, give back every document's rate without a table per step.
 """
 
 from __future__ import annotations
@@ -26,7 +31,9 @@ TARGETS = {"good": 0.90, "poor": 0.07, "toxic": 0.03}
 #: Labelled documents that the classifier is fitted on (those with the smallest hashes), size of the features.
 SAMPLE, FEATURES = 4000, 4096
 #: Largest rate of a document, share of the ridge, gradient steps at most, and the relative error that ends them.
-MOST, RIDGE, STEPS, CLOSE = 4.0, 0.005, 40, 1e-6
+MOST, RIDGE, STEPS, CLOSE = 4.0, 0.005, 300, 1e-6
+#: Share of the least-squares sum by which it may be above the least possible one.
+GAP = 0.001
 
 #: Kinds of bytes: white space, letters (all of UTF-8 beyond ASCII among them), digits, other signs.
 KIND = np.full(256, 3, np.uint8)
@@ -152,47 +159,71 @@ def _columns(batch: pa.RecordBatch, names: tuple[str, str]) -> tuple[np.ndarray,
     return tokens, p.to_numpy(zero_copy_only=False).reshape(len(tokens), -1) if len(tokens) else np.zeros((0, 1))
 
 
-def rates_after(mass: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates of documents with token masses (documents, domains) after the given gradient steps."""
-    r = np.ones(len(mass))
+def rates_after(tokens: np.ndarray, p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+    """Rates of documents with posteriors p (documents, domains) after the given gradient steps."""
+    r = np.ones(len(tokens))
     for g in steps:
-        r = np.clip(r - mass @ g, 0, MOST)
-    return r
+        r = np.clip(r - p @ g, 0, MOST)
+    return np.where(tokens > 0, r, 1.0)
 
 
-def fit_rates(rows: DataFrame, targets: np.ndarray, steps: int = STEPS, close: float = CLOSE) -> tuple[list[np.ndarray], float]:
-    """The gradient steps (vectors over domains) and the scale of the masses, for rows (tokens, p)."""
+def partial_sums(tokens: np.ndarray, p: np.ndarray, done: list[np.ndarray]) -> np.ndarray:
+    """Of some documents after the steps: tokens of the domains; products of free rates and of all; what the last step's gradient could gain at most."""
+    mass, r = tokens[:, None] * p, rates_after(tokens, p, done)
+    free = (r > 0) & (r < MOST)
+    gain = 0.0
+    if done:
+        slope, before = p @ done[-1], rates_after(tokens, p, done[:-1])
+        gain = tokens @ np.where(slope > 0, slope * before, slope * (before - MOST))
+    return np.concatenate([r @ mass, (mass[free].T @ p[free]).ravel(), (mass.T @ p).ravel(), mass.sum(axis=0), [gain]])
+
+
+def solve_rates(gather, targets: np.ndarray, steps: int = STEPS, close: float = CLOSE) -> tuple[list[np.ndarray], float]:
+    """The gradient steps and the largest error of a domain as a share of all tokens; ``gather(done)`` sums partial_sums."""
     n = len(targets)
+    done: list[np.ndarray] = []
+    best, at, wide, tried = np.inf, None, 0.001, False
+    for _ in range(steps):
+        total, free, every, mass, gain = np.split(gather(done), np.cumsum([n, n * n, n * n, n]))
+        free, every, tokens = free.reshape(n, n), every.reshape(n, n), max(mass.sum(), 1e-12)
+        share = targets / targets.sum()
+        wrong = total - share * tokens
+        whole = every + RIDGE * np.diag(np.maximum(share, close)) * tokens
+        weights = np.linalg.inv(whole)
+        loss = wrong @ weights @ wrong
+        if np.abs(wrong).max() <= close * tokens:
+            return done, float(np.abs(wrong).max() / tokens)
+        if tried and loss > 0.9 * best:
+            # not worth it: the safe step from where it started
+            wide = min(wide * 10, 1.0)
+            done[-1], tried = weights @ at, False
+            continue
+        if done and not tried and gain[0] <= GAP * best / 2:
+            return done, float(np.abs(wrong).max() / tokens)
+        if tried:
+            wide = max(wide / 10, 1e-8)
+        best, at, tried = loss, wrong, True
+        done.append(np.linalg.solve(free + wide * whole, wrong))
+    raise ValueError(f"the rates do not settle within {steps} steps: an error of {np.abs(at).max() / tokens:.3g} of the tokens is left")
+
 
-    def gather(done: list[np.ndarray], scale: float):
+def fit_rates(rows: DataFrame, targets: np.ndarray, steps: int = STEPS, close: float = CLOSE) -> tuple[list[np.ndarray], float]:
+    """The gradient steps (vectors over domains) and the error that is left, for rows (tokens, p)."""
+    size = len(targets) * (2 * len(targets) + 2) + 1
+
+    def gather(done: list[np.ndarray]) -> np.ndarray:
         def run(batches):
-            total, square, mass_sum = np.zeros(n), np.zeros((n, n)), np.zeros(n)
+            flat = np.zeros(size)
             for batch in batches:
                 tokens, p = _columns(batch, ("tokens", "p"))
                 if len(tokens):
-                    mass = tokens[:, None] * p / scale
-                    r = rates_after(mass, done)
-                    total += r @ mass
-                    square += mass.T @ mass
-                    mass_sum += mass.sum(axis=0)
-            flat = np.concatenate([total, square.ravel(), mass_sum])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], names=["k", "v"])
-
-        got = {r.k: r.v for r in rows.select("tokens", "p").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}  # n * n + 2n numbers
-        flat = np.array([got.get(k, 0.0) for k in range(n * n + 2 * n)])
-        return flat[:n], flat[n : n + n * n].reshape(n, n), flat[n + n * n :]
-
-    scale = rows.agg(F.coalesce(F.max("tokens"), F.lit(1)).cast("double")).first()[0] or 1.0
-    done: list[np.ndarray] = []
-    for _ in range(steps):
-        now, square, mass = gather(done, scale)
-        wanted = targets / targets.sum() * mass.sum()
-        wrong = now - wanted
-        if np.abs(wrong).max() <= close * max(mass.sum(), 1e-12):
-            break
-        ridge = max(RIDGE * np.trace(square), 1e-300)
-        done.append(np.linalg.solve(square + ridge * np.eye(n), wrong))
-    return done, scale
+                    flat += partial_sums(tokens, p, done)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array(flat)], names=["k", "v"])
+
+        got = {r.k: r.v for r in rows.select("tokens", "p").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}  # ``size`` numbers
+        return np.array([got.get(k, 0.0) for k in range(size)])
+
+    return solve_rates(gather, targets, steps, close)
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = SAMPLE, keep: dict[str, str] | None = None) -> DataFrame:
@@ -206,12 +237,12 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     domains = list(targets)
     rows = staged(posteriors(docs, labels, domains, sample, keep=keep))
     # the steps read a table of their own without texts, whose small files share tasks
-    steps, scale = fit_rates(staged(rows.select("tokens", "p")), np.array([targets[d] for d in domains]))
+    steps, _ = fit_rates(staged(rows.select("tokens", "p")), np.array([targets[d] for d in domains]))
 
     def rate(batches):
         for batch in batches:
             tokens, p = _columns(batch, ("tokens", "p"))
-            r = rates_after(tokens[:, None] * p / scale, steps) if len(tokens) else np.zeros(0)
+            r = rates_after(tokens, p, steps) if len(tokens) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r)], names=[*batch.schema.names, "rate"])
 
     rated = rows.mapInArrow(rate, f"{_schema(rows)}, rate double")
