@@ -1,8 +1,10 @@
 """Nearest neighbours: a neighbour graph by NN-descent, and greedy search on it.
 
-Equal vectors form one node. The graph starts from random groups inside the cells of pivot vectors and improves
-by joins: the neighbours of a node, in both directions, are candidates for one another, and every node keeps the
-best it has met; a round compares only pairs with a new neighbour in it. Nodes are dealt to homes (parts of a
+Equal vectors form one node. The graph starts from random groups inside the cells of pivot vectors and from groups
+of nodes of all cells; a few random edges of the latter also join in the first round and stay links of the search,
+so that no cell is left to itself. It improves by joins: the neighbours of a node, in both directions, are candidates for one another, and every node keeps the
+best it has met; a round compares only pairs with a new neighbour in it, and rounds go on until hardly a new one
+turns up. Nodes are dealt to homes (parts of a
 cell of bounded size), so that a round moves every vector once for each home that needs it.
 
 A query starts at its own node or, if it is none, at the nearest pivots; each round opens the closest unopened nodes it
@@ -20,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from labelscan.llm.common import pick, staged
+from labelscan.llm.common import mix, pick, staged
 
 #: Neighbours of a node in the graph; reverse neighbours (a sample by hash) that join in a round.
 DEGREE, REVERSE = 20, 20
-#: Pivots (at most), nodes of a home, nodes of a starting group, rounds at most, share of new neighbours that ends them.
-PIVOTS, HOME, GROUP, ROUNDS, ENOUGH = 256, 1024, 128, 6, 0.005
-#: Nodes that a search keeps, nodes that it opens in a round, rounds at most.
-BEAM, OPEN, HOPS = 64, 24, 12
+#: Pivots (at most), nodes of a home, nodes of a starting group, random edges of a node, share of new neighbours that ends the rounds.
+PIVOTS, HOME, GROUP, RANDOM, ENOUGH = 256, 1024, 128, 3, 0.005
+#: Nodes that a search keeps, nodes that it opens in a round.
+BEAM, OPEN = 64, 24
 
 
 def vectors(table: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -89,15 +91,22 @@ def _edges(src, dst, dist) -> pa.Table:
     return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "dist": pa.array(dist, pa.float32())})
 
 
-def _group_pairs(k: int):
-    """All distances inside one starting group (of bounded size)."""
+def _group_pairs(k: int, random: int = 0):
+    """The nearest inside one starting group (of bounded size); apart from them ``random`` edges of every node."""
 
     def run(group: pa.Table) -> pa.Table:
         ids, x = group.column("node").to_numpy(), _matrix(group.column("x"))
         far = _distances(x, x)
         a, b = np.nonzero(~np.eye(len(ids), dtype=bool))
         keep = _top(ids[a], ids[b], far[a, b], k)
-        return _edges(ids[a][keep], ids[b][keep], far[a, b][keep])
+        near = _edges(ids[a][keep], ids[b][keep], far[a, b][keep])
+        if not random:
+            return near
+        # the next ones in an order by hash
+        order = np.argsort(mix(ids.view(np.uint64)))
+        a, b = (np.concatenate([np.roll(order, -i * side) for i in range(1, min(random, len(ids) - 1) + 1)] or [order[:0]]) for side in (0, 1))
+        apart = _edges(ids[a], ids[b], far[a, b])
+        return pa.concat_tables([t.append_column("random", pa.array([kind] * len(t), pa.bool_())) for t, kind in ((near, False), (apart, True))])
 
     return run
 
@@ -139,13 +148,13 @@ def _local_join(k: int):
 
 
 class Graph:
-    """nodes: (node, x, home), members: (node, id), edges: (src, dst, dist), pivots: their ids and vectors."""
+    """nodes: (node, x, home), members: (node, id), edges and random_edges: (src, dst, dist), pivots: their ids and vectors."""
 
-    def __init__(self, nodes: DataFrame, members: DataFrame, edges: DataFrame, pivot_ids: np.ndarray, pivots: np.ndarray):
-        self.nodes, self.members, self.edges, self.pivot_ids, self.pivots = nodes, members, edges, pivot_ids, pivots
+    def __init__(self, nodes: DataFrame, members: DataFrame, edges: DataFrame, random_edges: DataFrame, pivot_ids: np.ndarray, pivots: np.ndarray):
+        self.nodes, self.members, self.edges, self.random_edges, self.pivot_ids, self.pivots = nodes, members, edges, random_edges, pivot_ids, pivots
 
 
-def build(points: DataFrame, k: int = DEGREE, rounds: int = ROUNDS) -> Graph:
+def build(points: DataFrame, k: int = DEGREE) -> Graph:
     """The neighbour graph of (id, v), by NN-descent."""
     points = staged(points)
     equal = points.groupBy("v").agg(F.min("id").alias("node"))
@@ -154,7 +163,8 @@ def build(points: DataFrame, k: int = DEGREE, rounds: int = ROUNDS) -> Graph:
     chosen = packed.orderBy(F.xxhash64("node"), "node").limit(PIVOTS).collect()  # a bounded sample
     if not chosen:
         empty = packed.select("node", "x", F.lit(0).alias("home"))
-        return Graph(empty, members, packed.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).cast("float").alias("dist")), np.zeros(0, np.int64), np.zeros((0, 1), np.float32))
+        none = packed.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).cast("float").alias("dist"))
+        return Graph(empty, members, none, none, np.zeros(0, np.int64), np.zeros((0, 1), np.float32))
     pivot_ids, pivots = np.array([r.node for r in chosen]), np.stack([np.frombuffer(r.x, np.float32) for r in chosen])
     placed = staged(packed.mapInArrow(_cells(pivots, min(2, len(pivots))), "node long, x binary, cells array<int>"))
     # homes and starting groups: cells, in random parts where they are large
@@ -166,15 +176,24 @@ def build(points: DataFrame, k: int = DEGREE, rounds: int = ROUNDS) -> Graph:
     totals = both.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     groups = both.join(totals, "cell").select("node", "x", F.xxhash64("cell", part(GROUP, 2)).alias("group"))
     met = groups.groupBy("group").applyInArrow(_group_pairs(k), "src long, dst long, dist float")
-    edges = staged(_best(met.select("src", "dst", "dist", F.lit(True).alias("fresh")), k))
     total = nodes.count()
-    for _ in range(rounds):
+    mixed = packed.withColumn("group", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(-(-total // GROUP))))
+    mixed = staged(mixed.groupBy("group").applyInArrow(_group_pairs(k, RANDOM), "src long, dst long, dist float, random boolean"))
+    apart = mixed.where("random").drop("random")
+    met = met.union(mixed.where("not random").drop("random"))
+    edges = staged(_best(met.select("src", "dst", "dist", F.lit(True).alias("fresh")), k))
+    more = apart.select(F.explode(F.array(F.struct(F.col("src").alias("v"), F.col("dst").alias("u")), F.struct(F.col("dst").alias("v"), F.col("src").alias("u")))).alias("e"))
+    more = more.select("e.*", F.lit(True).alias("fresh"))
+    # a list only ever gets nearer, so the rounds end
+    while True:
         radius = edges.groupBy(F.col("src").alias("node")).agg(F.max("dist").alias("far"), F.count(F.lit(1)).alias("n"))
         reach = nodes.join(radius, "node", "left").select("node", "x", F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(float("inf"))).cast("float").alias("radius"))
         back = edges.select(F.col("dst").alias("v"), F.col("src").alias("u"), "fresh")
         order = Window.partitionBy("v").orderBy(F.desc("fresh"), F.xxhash64("u", "v"))
         back = back.withColumn("r", F.row_number().over(order)).where(F.col("r") <= REVERSE).drop("r")
-        lists = edges.select(F.col("src").alias("v"), F.col("dst").alias("u"), "fresh").union(back).groupBy("v", "u").agg(F.max("fresh").alias("fresh"))
+        lists = edges.select(F.col("src").alias("v"), F.col("dst").alias("u"), "fresh").union(back)
+        lists, more = (lists if more is None else lists.union(more)), None
+        lists = lists.groupBy("v", "u").agg(F.max("fresh").alias("fresh"))
         lists = staged(lists.join(nodes.select(F.col("node").alias("v"), "home"), "v"))
         needed = lists.select(F.col("home").alias("at"), F.col("u").alias("node")).distinct().join(reach, "node")
         met = lists.groupBy("home").cogroup(needed.groupBy("at")).applyInArrow(_local_join(k), "src long, dst long, dist float")
@@ -182,7 +201,7 @@ def build(points: DataFrame, k: int = DEGREE, rounds: int = ROUNDS) -> Graph:
         edges = staged(_best(joined, k))
         if edges.where("fresh").count() <= ENOUGH * k * total:
             break
-    return Graph(nodes, members, edges.select("src", "dst", "dist"), pivot_ids, pivots)
+    return Graph(nodes, members, edges.select("src", "dst", "dist"), apart, pivot_ids, pivots)
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
@@ -212,7 +231,7 @@ def _starts(pivot_ids: np.ndarray, pivots: np.ndarray, near: int = 4):
     return run
 
 
-def search(graph: Graph, queries: DataFrame, k: int = 10, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
+def search(graph: Graph, queries: DataFrame, k: int = 10, beam: int = BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found of every query (id, v), its own id left out.
 
     Greedy search: nodes are opened nearest first; the search of a query ends when its nearest ``beam`` nodes
@@ -230,9 +249,10 @@ def search(graph: Graph, queries: DataFrame, k: int = 10, beam: int = BEAM, hops
     # links both ways: a node is reached from its neighbours and from those that have it as neighbour
     order = Window.partitionBy("b").orderBy("dist", "a")
     back = graph.edges.select(F.col("dst").alias("b"), F.col("src").alias("a"), "dist").withColumn("r", F.row_number().over(order)).where(F.col("r") <= REVERSE)
-    links = staged(graph.edges.select("src", "dst").union(back.select("b", "a")).distinct())
+    apart = graph.random_edges.select("src", "dst").union(graph.random_edges.select("dst", "src"))
+    links = staged(graph.edges.select("src", "dst").union(back.select("b", "a")).union(apart).distinct())
     nearest = Window.partitionBy("q").orderBy("far", "node")
-    for _ in range(hops):
+    while True:
         ranked = state.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= beam)
         closed = staged(ranked.where("not open").withColumn("o", F.row_number().over(nearest)).where(F.col("o") <= OPEN).select("q", "node"))
         if not closed.limit(1).count():
