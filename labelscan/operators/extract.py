@@ -80,6 +80,32 @@ def image_text(kept: DataFrame) -> DataFrame:
     )
 
 
+def given_text(kept: DataFrame, images: DataFrame | None) -> DataFrame | None:
+    """The full texts that come with ``images``, for images whose kept blocks have no text; as of ``image_text``."""
+    if images is None or "full_text" not in images.columns:
+        return None
+    raw = X.ascii_digits(F.col("full_text"))
+    read = kept.filter(F.col("raw") != "").select(*IMAGE).distinct()
+    one = images.groupBy(*IMAGE).agg(F.max("full_text").alias("full_text")).filter(X.strip(F.col("full_text")) != "")
+    return one.join(read, IMAGE, "left_anti").select(
+        *IMAGE, raw.alias("full_text"), F.lit(False).alias("has_geometry"), X.has(X.strip(raw), V.ORIGIN_INLINE).alias("inline_origin")
+    )
+
+
+def texts_of_images(kept: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """``image_text``, and where the blocks give none the text that comes with the image."""
+    texts, given = image_text(kept), given_text(kept, images)
+    return texts if given is None else texts.unionByName(given)
+
+
+def text_lines(given: DataFrame, kept: DataFrame) -> DataFrame:
+    """The lines of given texts in the form of ``kept`` blocks, without boxes."""
+    lines = given.select(*IMAGE, F.posexplode(F.split("full_text", r"\r\n|\r|\n")).alias("block_idx", "raw")).filter(X.strip(F.col("raw")) != "")
+    full = lines.withColumn("t", X.strip(F.col("raw"))).withColumn("conf", F.lit(1.0))
+    types = dict(kept.dtypes)
+    return full.select(*[(F.col(c) if c in full.columns else F.lit(None)).cast(types[c]).alias(c) for c in kept.columns])
+
+
 def after(c: Column, pattern: str) -> Column:
     """Text behind the first match of ``pattern``."""
     return F.regexp_replace(c, r"^(?s:.*?)" + pattern + r"(?s:(.*))$", "$" + str(_groups(pattern) + 1))
@@ -538,8 +564,8 @@ def block_matches(tagged: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def winning_matches(tagged: DataFrame) -> DataFrame:
-    """Best match per image and field.
+def winning_matches(tagged: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """Best match per image and field; ``images`` may give texts of images without usable blocks.
 
     The whole text is searched only for fields no block has settled, and visual rows
     are built only for images whose country is still open.
@@ -548,7 +574,7 @@ def winning_matches(tagged: DataFrame) -> DataFrame:
 
     by_block = staged(first_match_wins(block_matches(tagged)))
     settled = by_block.filter("key.p = 0").groupBy(*IMAGE).agg(F.collect_set("field").alias("settled"))
-    texts = staged(image_text(tagged).join(settled, IMAGE, "left"))
+    texts = staged(texts_of_images(tagged, images).join(settled, IMAGE, "left"))
     best = staged(first_match_wins(by_block.unionByName(text_matches(texts)).unionByName(country_text(texts))))
     placed = best.filter("field = 'countryOfOrigin' AND key.p <= 2").select(*IMAGE)
     broken = (
@@ -617,15 +643,22 @@ def extract_fields(
     """EXT-13: all fields of every image, one row per image.
 
     Images are those of ``blocks``, however unsure their text is, and those of ``images`` (scan_id, image_idx),
-    which may have no block at all; without a usable block the mean confidence is 0.
+    which may have no block at all; without a usable block the mean confidence is 0, and the whole text is that of
+    the optional column full_text of ``images``, whose lines are searched for the manufacturer.
 
     ``quality`` (scan_id, image_idx, quality_status) is optional and left-joined.
     """
     from labelscan.operators.maker import extract_maker
 
     tagged = staged(tag(prepare(blocks)))
-    wide = widen(winning_matches(tagged))
-    maker = extract_maker(tagged, prepare(blocks, None))
+    wide = widen(winning_matches(tagged, images))
+    raw, read, given = prepare(blocks, None), tagged, given_text(tagged, images)
+    if given is not None:
+        lines = staged(text_lines(given, raw))
+        # blocks below the confidence floor give way to the text
+        raw = raw.join(given.select(*IMAGE), IMAGE, "left_anti").unionByName(lines)
+        read = tagged.unionByName(tag(lines))
+    maker = extract_maker(read, raw)
     every = blocks.select(*IMAGE) if images is None else blocks.select(*IMAGE).union(images.select(*IMAGE))
     usable = tagged.groupBy(*IMAGE).agg(F.avg("conf").alias("mean_conf"))
     known = every.distinct().join(usable, IMAGE, "left").withColumn("mean_conf", F.coalesce("mean_conf", F.lit(0.0)))

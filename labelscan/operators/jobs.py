@@ -24,10 +24,15 @@ def _records(flat: DataFrame) -> DataFrame:
     return D.scan_record(flat, compliance)
 
 
-def scan_single_images(blocks: DataFrame, quality: DataFrame | None = None, calibration: float | None = None) -> DataFrame:
-    """JOB-1: every image is a scan of its own, named ``<scan>/<image>``."""
-    found = X.extract_fields(blocks, quality, calibration)
-    texts = X.image_text(X.prepare(blocks)).select(*IMAGE, "full_text")
+def scan_single_images(
+    blocks: DataFrame, quality: DataFrame | None = None, calibration: float | None = None, images: DataFrame | None = None
+) -> DataFrame:
+    """JOB-1: every image is a scan of its own, named ``<scan>/<image>``.
+
+    ``images`` (scan_id, image_idx, optional full_text) names all images, those without a block too.
+    """
+    found = X.extract_fields(blocks, quality, calibration, images)
+    texts = X.texts_of_images(X.prepare(blocks), images).select(*IMAGE, "full_text")
     px = F.struct("measured_blocks", "smallest_height_px", "median_height_px", "largest_height_px")
     nested = found.join(texts, IMAGE, "left").select(
         F.concat_ws("/", "scan_id", F.col("image_idx").cast("string")).alias("scan_id"),
@@ -37,17 +42,17 @@ def scan_single_images(blocks: DataFrame, quality: DataFrame | None = None, cali
     return _records(D.flat_fields(nested))
 
 
-def image_candidates(found: DataFrame, blocks: DataFrame) -> DataFrame:
+def image_candidates(found: DataFrame, blocks: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """Long candidates of the merge from the extraction of every image."""
     kept = X.prepare(blocks)
-    texts = X.image_text(kept).select(*IMAGE, "full_text")
+    texts = X.texts_of_images(kept, images).select(*IMAGE, "full_text")
     items = F.array(
         *[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in SINGLE_FIELDS + ["isImported"]]
     )
     means = M.mean_confidence(blocks)
     wide = found.drop("mean_conf").join(texts, IMAGE, "left").join(means, IMAGE, "left").select(
         *IMAGE, F.concat(F.lit("img"), F.col("image_idx").cast("string"), F.lit(".jpg")).alias("file_name"),
-        "full_text", "mean_conf", items.alias("items"),
+        "full_text", F.coalesce("mean_conf", F.lit(0.0)).alias("mean_conf"), items.alias("items"),
     )
     long = wide.select(*IMAGE, "file_name", "full_text", "mean_conf", F.explode_outer("items").alias("i")).select(
         *IMAGE, "file_name", "full_text", "mean_conf", "i.*"
@@ -55,12 +60,15 @@ def image_candidates(found: DataFrame, blocks: DataFrame) -> DataFrame:
     return M.field_confidence(long.filter("value IS NOT NULL"), blocks)
 
 
-def scan_image_sets(blocks: DataFrame, quality: DataFrame | None = None, calibration: float | None = None):
-    """JOB-2: (scan records, conflicts) of scans with several images."""
-    found = staged(X.extract_fields(blocks, quality, calibration))
-    resolved = staged(M.resolve(M.candidates(image_candidates(found, blocks))))
-    merged = M.merged_fields(resolved)
-    texts = X.image_text(X.prepare(blocks)).groupBy("scan_id").agg(
+def scan_image_sets(
+    blocks: DataFrame, quality: DataFrame | None = None, calibration: float | None = None, images: DataFrame | None = None
+):
+    """JOB-2: (scan records, conflicts) of scans with several images; ``images`` as in JOB-1."""
+    found = staged(X.extract_fields(blocks, quality, calibration, images))
+    resolved = staged(M.resolve(M.candidates(image_candidates(found, blocks, images))))
+    merged = found.select("scan_id").distinct().join(M.merged_fields(resolved), "scan_id", "left")
+    merged = merged.withColumn("extraction_confidence", F.coalesce("extraction_confidence", F.lit("LOW")))
+    texts = X.texts_of_images(X.prepare(blocks), images).groupBy("scan_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("image_idx", "full_text"))), lambda p: p["full_text"]), " ")
         .alias("combined_full_text")
     )
