@@ -12,6 +12,7 @@ from labelscan.llm.common import table
 from labelscan.llm.domain_mixing import mix
 from labelscan.llm.nn_descent import neighbours
 from labelscan.llm.ordinal_toxicity import severity
+from labelscan.llm.periodic_runs import periodic_runs, plant, run_digests
 from labelscan.llm.pii_tagger import find_pii
 from labelscan.llm.quality_cascade import quality_report
 from labelscan.llm.relative_lz import remove_repeats
@@ -69,11 +70,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(plant(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_domain_mixing, op2_nn_descent, op3_bpe_chunks, op4_token_counts, op5_url_trust, op6_substring_dedup, op7_pii,
-        op8_minhash_near_dedup, op9_toxicity, op10_quality_rules,
+        op8_minhash_near_dedup, op9_toxicity, op10_quality_rules, op11_periodic_runs,
     )
 }
 
@@ -115,4 +120,22 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   not base_failed and not (n_symbols > n_words * 0.1) and not (n_dup_lines > n_lines * 0.5)
   and not (case when up + low > 0 then up / (up + low) else 0 end > 0.5) and not (n_words > 0 and not (word_chars / n_words between 1.5 and 20)) kept
 from q""",
+    # the CRC bit by bit; runs are islands of places whose words equal those one period further
+    "op11_periodic_runs": rf"""
+with c as (select doc_id, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)), 4294967295) h from documents),
+d as (select doc_id, h, h // 10 g, w, len(w) n from (select doc_id, {_WORDS.format("text")} w from documents) join c using (doc_id)),
+e as (select doc_id, w, n, case when h % 10 = 0 and n > 0 then g % n else n end a, case when h % 10 = 0 and n > 0 then 1 + (n - g % n) // (3 + g % 8) else 1 end p from d),
+word as materialized (select doc_id, n, i, w[1 + case when i < a then i else a + (i - a) % p end] x from e, unnest(range(0, n)) t(i)),
+same as (select l.doc_id, l.i, r.i - l.i p from word l join word r on l.doc_id = r.doc_id and l.x = r.x and r.i > l.i and r.i - l.i <= l.n // 4),
+isle as (select doc_id, p, i, i - row_number() over (partition by doc_id, p order by i) k from same),
+found as (select doc_id, min(i) s, count(*) + p z, p from isle group by doc_id, p, k having count(*) + p >= greatest(6, 4 * p)),
+run as materialized (select doc_id, s, z, min(p) p from found group by doc_id, s, z),
+gone as (select distinct doc_id, i from run, unnest(range(s + p, s + z)) t(i)),
+kept as (select doc_id, string_agg(x, ' ' order by i) t from word anti join gone using (doc_id, i) group by 1),
+sums as (select doc_id, count(*) n_runs, string_agg(s || ',' || z || ',' || p || chr(10), '' order by s, p) t from run group by 1),
+top as (select * from run qualify row_number() over (partition by doc_id order by z desc, s, p) = 1)
+select d.doc_id, coalesce(n_runs, 0)::bigint n_runs, top.s::bigint as start, top.z::bigint as length, top.p::bigint as period,
+  (1000 * top.z // top.p)::bigint exponent_milli, sha256(coalesce(sums.t, '')) runs_sha256, sha256(coalesce(kept.t, '')) collapsed_sha256
+from d left join sums using (doc_id) left join top using (doc_id) left join kept using (doc_id)""",
 }
