@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from labelscan.llm.bottom_k import near_duplicates
 from labelscan.llm.bpe_chunks import encode_decode
 from labelscan.llm.common import table
+from labelscan.llm.compression_language import identify
 from labelscan.llm.domain_mixing import mix
 from labelscan.llm.nn_descent import neighbours
 from labelscan.llm.ordinal_toxicity import severity
@@ -74,11 +75,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(plant(table(spark, sf_dir, "documents"))))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_domain_mixing, op2_nn_descent, op3_bpe_chunks, op4_token_counts, op5_url_trust, op6_substring_dedup, op7_pii,
-        op8_minhash_near_dedup, op9_toxicity, op10_quality_rules, op11_periodic_runs,
+        op8_minhash_near_dedup, op9_toxicity, op10_quality_rules, op11_periodic_runs, op13_language_id,
     )
 }
 
