@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from labelscan.llm.bottom_k import near_duplicates
 from labelscan.llm.bpe_chunks import encode_decode
-from labelscan.llm.common import table
+from labelscan.llm.common import pick, table
 from labelscan.llm.compression_language import identify
 from labelscan.llm.domain_mixing import mix
+from labelscan.llm.hard_negatives import hard_negatives
 from labelscan.llm.nn_descent import neighbours
 from labelscan.llm.ordinal_toxicity import severity
 from labelscan.llm.periodic_runs import periodic_runs, plant, run_digests
@@ -75,6 +77,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(plant(table(spark, sf_dir, "documents"))))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pick(table(spark, sf_dir, "embeddings"), vec_id="long", embedding="array<double>", label="long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved))
+
+
 def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -83,7 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_domain_mixing, op2_nn_descent, op3_bpe_chunks, op4_token_counts, op5_url_trust, op6_substring_dedup, op7_pii,
-        op8_minhash_near_dedup, op9_toxicity, op10_quality_rules, op11_periodic_runs, op13_language_id,
+        op8_minhash_near_dedup, op9_toxicity, op10_quality_rules, op11_periodic_runs,
+        op12_hard_negatives, op13_language_id,
     )
 }
 
@@ -143,4 +152,14 @@ top as (select * from run qualify row_number() over (partition by doc_id order b
 select d.doc_id, coalesce(n_runs, 0)::bigint n_runs, top.s::bigint as start, top.z::bigint as length, top.p::bigint as period,
   (1000 * top.z // top.p)::bigint exponent_milli, sha256(coalesce(sums.t, '')) runs_sha256, sha256(coalesce(kept.t, '')) collapsed_sha256
 from d left join sums using (doc_id) left join top using (doc_id) left join kept using (doc_id)""",
+    "op12_hard_negatives": """
+with r as materialized (select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end) lab,
+  list_transform(embedding, lambda x: floor(256 * x::double)) v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+a as (select * from r where vec_id % 50 = 0),
+s as materialized (select a.vec_id a, r.vec_id b, a.lab = r.lab same, list_inner_product(a.v, r.v)::bigint s from a join r on a.vec_id <> r.vec_id),
+p as (select a, b p, s ps from s where same qualify row_number() over (partition by a order by s desc, b) <= 5)
+select p.a anchor_id, p.p positive_id, (row_number() over (partition by p.a, p.p order by s desc, b))::int as rank, b negative_id, ps positive_score, s negative_score
+from p join s on p.a = s.a and not same and 100 * s between 50 * ps and 95 * ps
+qualify row_number() over (partition by p.a, p.p order by s desc, b) <= 3""",
 }
