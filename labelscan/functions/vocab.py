@@ -297,6 +297,7 @@ MAKER_ANCHOR = (
     r"manufacturing\s+unit|in\s+[A-Za-z]{3,20}\s+by)\b"
 )
 LICENCE_LINE = r"(?iU)\b(?:fssai|fssat|lic|licence|license)\b"
+LICENCE_OR_ARTICLE = r"(?iU)\b(?:fssai|fssat|lic|licence|license|art\.?\s*\d+)\b"
 NAME_CONTINUATION_WORDS = [
     "international", "services", "india", "private", "limited", "technologies", "solutions",
 ]

@@ -59,14 +59,17 @@ def first_match_wins(matches: DataFrame) -> DataFrame:
 
 # --- blocks ----------------------------------------------------------------------------------
 def prepare(blocks: DataFrame, min_confidence: float | None = V.MIN_BLOCK_CONFIDENCE) -> DataFrame:
-    """FLT-1 and SCA-1: ASCII digits, and blocks of at least the minimum confidence
-    (a missing confidence counts as 1)."""
+    """FLT-1 and SCA-1: ASCII digits, and blocks of at least the minimum confidence.
+
+    A missing confidence counts as 1 in ``conf`` and as 0 in ``sure``, the measure of a price
+    that stands beside its label."""
     conf = F.coalesce("confidence", F.lit(1.0))
     rows = blocks if min_confidence is None else blocks.filter(conf >= min_confidence)
     raw = X.ascii_digits(F.coalesce("text", F.lit("")))
     extra = [c for c in ("slope",) if c in blocks.columns]
     return rows.select(
-        *IMAGE, "block_idx", raw.alias("raw"), X.strip(raw).alias("t"), conf.alias("conf"), *GEOMETRY, *extra
+        *IMAGE, "block_idx", raw.alias("raw"), X.strip(raw).alias("t"), conf.alias("conf"),
+        F.coalesce("confidence", F.lit(0.0)).alias("sure"), *GEOMETRY, *extra,
     )
 
 
@@ -169,9 +172,9 @@ def unit_price_piece(c: Column) -> Column:
     return F.when(~X.has(c, V.QUANTITY_ONLY), X.null_if_empty(F.regexp_extract(c, V.UNIT_PRICE_VALUE, 0)))
 
 
-def mrp_neighbour(t: Column, conf: Column) -> Column:
+def mrp_neighbour(t: Column, sure: Column) -> Column:
     """Price text of a block next to an MRP label."""
-    ok = ~X.has(t, V.MRP_SKIP_NEIGHBOUR) & ~X.is_quantity_context(t) & (conf >= V.MRP_MIN_CONFIDENCE)
+    ok = ~X.has(t, V.MRP_SKIP_NEIGHBOUR) & ~X.is_quantity_context(t) & (sure >= V.MRP_MIN_CONFIDENCE)
     plain = X.null_if_empty(F.regexp_extract(t, V.MRP_PRICE_TWO_DIGITS, 1))
     glued = X.null_if_empty(F.regexp_extract(t, V.MRP_GLUED_PRICE, 1))
     return F.when(ok, F.coalesce(plain, F.concat_ws(" ", glued, F.when(glued.isNotNull(), after(t, V.MRP_GLUED_PRICE)))))
@@ -379,7 +382,7 @@ def _sides(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = labels.groupBy(*IMAGE).agg(F.collect_set("field").alias("wanted"))
     name_ok = valid_explicit_name(t, F.col("concept"), F.col("header_word"))
     values = [
-        ("mrp", mrp_neighbour(t, F.col("conf"))), ("count", count_value(t)),
+        ("mrp", mrp_neighbour(t, F.col("sure"))), ("count", count_value(t)),
         ("near", F.when(~X.has(t, V.NET_SKIP_UNIT_PRICE), F.coalesce(promo_value(t), generic_quantity(t)))),
         ("made", made_value(t)), ("expiry", expiry_value(t)),
         ("batch", F.when(~L.is_field_label(t, F.col("concept")), X.clean_batch(t))),

@@ -6,6 +6,8 @@ lower tiers look at single labelled lines, address lines and anchored company na
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +16,13 @@ from labelscan.functions import text as X
 from labelscan.functions import vocab as V
 from labelscan.functions.similarity import first_statutory_word
 from labelscan.operators import spatial as SP
+from labelscan.operators.rows import row_texts, rows_of_images
 from labelscan.operators.spatial import IMAGE, reading_key
 from labelscan.session import staged
 
 POS_BAND = 32
+# fixed value: reach of a boundary row around its centre, in heights of the row
+BAND_CENTRE = 0.75
 
 
 def _excluded(c: Column) -> Column:
@@ -29,13 +34,14 @@ def _company(c: Column) -> Column:
     return X.has_company_suffix(c) & X.is_company(c)
 
 
-def with_corrupted(blocks: DataFrame) -> DataFrame:
-    """SCA-26: header text, rest and score of a damaged statutory label.
+def with_corrupted(blocks: DataFrame, headers: bool = False) -> DataFrame:
+    """SCA-26: word and rest of a damaged statutory label.
 
-    Adds ``c_header`` and ``c_rest`` (null without such a label) and ``c_score``.
+    Adds ``c_word`` and ``c_rest``, null without such a label, and unless ``headers`` also
+    for the texts that hold a proper section header.
     """
     t = F.col("t")
-    known = X.has(t, V.SECTION_HEADER)
+    known = F.lit(False) if headers else X.has(t, V.SECTION_HEADER)
     words = F.regexp_extract_all(F.lower(t), F.lit(V.CORRUPTED_LABEL), F.lit(1))
     scored = blocks.withColumn("_at", first_statutory_word(F.when(~known & (F.size(words) > 0), words)))
     # text up to and including the n-th candidate, then an optional second "by" or colon
@@ -52,22 +58,60 @@ def with_corrupted(blocks: DataFrame) -> DataFrame:
     )
 
 
+def _first_company(start: Column, parts: Column, front: bool = False) -> Column:
+    """Parts are put behind (or in front of) ``start`` one by one until the text names a company.
+
+    A struct of the number of parts used and that text; its text is null if no part completes a company.
+    """
+    none = F.lit(None).cast("string")
+    begin = F.struct(start.alias("all"), F.lit(0).alias("i"), none.alias("s"))
+
+    def step(acc, part):
+        more = F.concat_ws(" ", part, acc["all"]) if front else F.concat_ws(" ", acc["all"], part)
+        grown = F.struct(more.alias("all"), (acc["i"] + 1).alias("i"), F.when(_company(more), more).alias("s"))
+        return F.when(acc["s"].isNotNull(), acc).otherwise(grown)
+
+    return F.aggregate(parts, begin, step, lambda acc: F.struct(acc["i"].alias("i"), acc["s"].alias("s")))
+
+
+def _joined_without_end(parts: Column, pattern: str) -> Column:
+    """The parts joined by a blank, without those at the end that hold the pattern."""
+    last_good = F.aggregate(
+        F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), F.lit(0),
+        lambda a, i: F.when(~F.coalesce(F.try_element_at(parts, i).rlike(pattern), F.lit(True)), i).otherwise(a),
+    )
+    return X.null_if_empty(F.array_join(F.slice(parts, F.lit(1), last_good), " "))
+
+
 def _clean_name(c: Column) -> Column:
     c = X.strip(F.regexp_replace(c, r"(?U)^[^\w\s]+", ""))
     return X.strip(F.regexp_replace(c, r"(?U)^\d+\s+(?=[A-Za-z])", ""))
 
 
 def _row_boundaries(ordered: DataFrame) -> DataFrame:
-    """Positions inside the vertical band of a visual row that holds a boundary text."""
-    from labelscan.operators.rows import row_texts, visual_rows_by_gap
-
-    rows = visual_rows_by_gap(ordered)
-    texts = row_texts(rows)
-    concept = L.exact_label(F.col("row_text"))
-    by_text = texts.filter(L.is_section_boundary(F.col("row_text"), concept)).select(*IMAGE, "row_id")
-    by_block = rows.filter("bnd_self").select(*IMAGE, "row_id")
-    marked = by_text.unionByName(by_block).distinct()
-    return rows.join(marked.withColumn("row_bnd", F.lit(True)), [*IMAGE, "row_id"], "left").select(
+    """WIN-6: blocks at the height of a visual row that holds a boundary text, as ``row_bnd``.
+
+    Rows are the greedy ones with running geometry (WIN-4). A row counts by its joined text or by
+    one of its blocks; its band then covers every block that overlaps it or whose centre is near
+    its own, in whatever row that block stands. Bands and blocks meet by stripes of the image.
+    """
+    rows = rows_of_images(ordered, ordered.columns)
+    texts = row_texts(rows).filter(F.col("n") > 1)
+    concept = L.canonical_label(F.col("row_text"))
+    by_text = texts.filter(L.is_section_boundary(F.col("row_text"), concept)).select(*IMAGE, "row_id", F.lit(True).alias("by_text"))
+    bands = rows.join(by_text, [*IMAGE, "row_id"], "left").groupBy(*IMAGE, "row_id").agg(
+        F.min("y_min").alias("top"), F.max("y_max").alias("bottom"), F.max(F.col("bnd_self") | F.coalesce("by_text", F.lit(False))).alias("marked")
+    ).filter("marked AND top IS NOT NULL")
+    centre, height = (F.col("top") + F.col("bottom")) / 2.0, F.greatest(F.col("bottom") - F.col("top"), F.lit(1))
+    reach = height * BAND_CENTRE
+    stripes = lambda low, high: F.explode(F.sequence(F.floor(low / SP.BAND), F.floor(high / SP.BAND))).alias("stripe")
+    spread = bands.select(*IMAGE, "top", "bottom", centre.alias("centre"), reach.alias("reach"), stripes(centre - reach, centre + reach))
+    places = rows.filter("y_min IS NOT NULL").select(*IMAGE, "pos", "y_min", "y_max", stripes(F.col("y_min"), F.col("y_max")))
+    overlap = F.least("bottom", "y_max") > F.greatest("top", "y_min")
+    near = F.abs((F.col("y_min") + F.col("y_max")) / 2.0 - F.col("centre")) <= F.col("reach")
+    both = [F.col(f"p.{c}") == F.col(f"b.{c}") for c in (*IMAGE, "stripe")]
+    hit = places.alias("p").join(spread.alias("b"), [*both, overlap | near], "left_semi").select(*IMAGE, "pos").distinct()
+    return rows.join(hit.withColumn("row_bnd", F.lit(True)), [*IMAGE, "pos"], "left").select(
         *ordered.columns, F.coalesce("row_bnd", F.lit(False)).alias("row_bnd")
     )
 
@@ -159,21 +203,15 @@ def section_names(found: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     opt = lambda c: F.when(c.isNotNull(), F.array(c)).otherwise(none)
     tail = lambda k: F.slice(lines, k + 1, F.greatest(n - k, F.lit(0)))
-    grown = F.transform(
-        F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(
-            i.alias("i"), F.concat(inline, F.lit(" "), F.array_join(F.slice(lines, F.lit(1), i), " ")).alias("s")
-        ),
-    )
     given = inline != ""
     open_inline = given & ~_company(inline) & ~X.is_address(inline)
     opened = found.select(
-        "*", F.when(open_inline, F.try_element_at(F.filter(grown, lambda g: _company(g["s"])), F.lit(1))).alias("cont"),
+        "*", F.when(open_inline, _first_company(inline, lines)).alias("cont"),
         F.try_element_at(F.filter(lines, lambda s: _company(s)), F.lit(1)).alias("own_line"),
     )
     cont, own = F.col("cont"), F.col("own_line")
-    by_inline, by_cont = given & _company(inline), cont.isNotNull()
-    bare = open_inline & cont.isNull() & X.is_company(inline)
+    by_inline, by_cont = given & _company(inline), cont["s"].isNotNull()
+    bare = open_inline & ~by_cont & X.is_company(inline)
     name = (
         F.when(by_inline, X.company_name(inline)).when(by_cont, X.company_name(cont["s"]))
         .when(bare, inline).when(own.isNotNull(), X.company_name(own))
@@ -187,17 +225,11 @@ def section_names(found: DataFrame) -> DataFrame:
     valid = named.filter(~F.col("damaged") | _company(F.col("raw_name"))).withColumn("name", _clean_name(F.col("raw_name")))
     at = F.array_position(F.transform(lines, lambda s: s.contains(F.col("name"))), F.lit(True)).cast("int")
     more = (
-        F.when(at > 0, tail(at)).when(given & F.col("cont").isNull(), lines).otherwise(none)
+        F.when(at > 0, tail(at)).when(given & ~by_cont, lines).otherwise(none)
     )
     parts = F.filter(F.concat("addr1", more), lambda s: s != "")
     # licence lines at the end are no address
-    last_good = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), F.lit(0),
-        lambda a, i: F.when(
-            ~F.coalesce(F.try_element_at(parts, i).rlike(V.LICENCE_LINE), F.lit(True)), i
-        ).otherwise(a),
-    )
-    address = X.null_if_empty(F.array_join(F.slice(parts, F.lit(1), last_good), " "))
+    address = _joined_without_end(parts, V.LICENCE_LINE)
     return valid.select(*IMAGE, "h_pos", "score", "name", address.alias("address"))
 
 
@@ -269,27 +301,69 @@ def labelled_lines(tagged: DataFrame) -> DataFrame:
 
 
 def anchored_companies(tagged: DataFrame) -> DataFrame:
-    """Tier 4: an unlabelled company with a maker label in its block or within 60 px."""
+    """Tier 4: an unlabelled company with a maker label in its block or within 60 px.
+
+    A company of one word takes its neighbours in front, nearest first, until the text names a
+    company. An address that does not stand in the block is read from the blocks that follow.
+    """
     t = F.col("t")
-    marked = with_corrupted(tagged).withColumn(
-        "anchor", X.has(t, V.MAKER_ANCHOR) | F.col("c_word").isNotNull() | X.has(t, V.SECTION_HEADER) & X.has(t, V.MAKER_ANCHOR)
-    )
+    slope = F.col("slope") if "slope" in tagged.columns else F.lit(0.0)
+    w = Window.partitionBy(*IMAGE).orderBy(*reading_key())
+    marked = staged(with_corrupted(tagged, headers=True).select(
+        *IMAGE, "block_idx", *SP.GEOMETRY, "t", F.row_number().over(w).alias("pos"), slope.cast("double").alias("sl"),
+        (X.has(t, V.MAKER_ANCHOR) | F.col("c_word").isNotNull()).alias("anchor"),
+        (X.contains_any(F.lower(t), V.TRADEMARK_WORDS) | L.is_section_boundary(t, F.col("concept"))).alias("stop"),
+    ))
     companies = marked.filter(_company(t) & ~_excluded(t))
-    field = F.lit("anchor")
-    labels = companies.filter("NOT anchor").select(
-        *IMAGE, field.alias("field"), F.lit("near").alias("rel"), F.lit(V.ANCHOR_GAP).alias("dist"), "block_idx", *SP.GEOMETRY
-    )
-    values = marked.filter("anchor").select(*IMAGE, field.alias("field"), "block_idx", *SP.GEOMETRY)
-    near = SP.pairs(labels, values, [], []).select(*IMAGE, F.col("l_block_idx").alias("block_idx")).distinct()
+    as_labels = lambda rows, gap: rows.withColumns({"field": F.lit("block"), "rel": F.lit("near"), "dist": F.lit(gap)})
+    anchors = marked.filter("anchor").withColumn("field", F.lit("block"))
+    near = SP.pairs(as_labels(companies.filter("NOT anchor"), V.ANCHOR_GAP), anchors, [], [])
+    near = near.select(*IMAGE, F.col("l_block_idx").alias("block_idx")).distinct()
     own = companies.filter("anchor").select(*IMAGE, "block_idx")
     good = companies.join(own.unionByName(near), [*IMAGE, "block_idx"], "left_semi")
-    head = X.company_name(t)
+    head, rest = X.company_name(t), X.company_rest(t)
     words = F.size(F.regexp_extract_all(head, F.lit("([A-Za-z]+)"), F.lit(1)))
-    ok = (words >= 2) & X.is_company(head)
-    rest = X.company_rest(t)
-    return good.filter(ok).groupBy(*IMAGE).agg(
-        F.min_by(F.struct(head.alias("name"), F.when(X.is_address(rest), rest).alias("address")), "block_idx").alias("c")
-    ).select(*IMAGE, "c.name", "c.address")
+    good = staged(good.select(
+        "*", F.coalesce((words >= 2) & X.is_company(head), F.lit(False)).alias("whole"),
+        head.alias("head"), F.when(X.is_address(rest), rest).alias("rest"),
+    ))
+    whole = good.filter("whole").select(*IMAGE, "block_idx", "pos", "sl", F.col("head").alias("name"), F.col("rest").alias("address"))
+    values = marked.filter((t != "") & ~_excluded(t)).withColumn("field", F.lit("block"))
+    around = SP.pairs(as_labels(good.filter("NOT whole"), V.NEARBY_GAP), values, ["t", "pos", "sl"], ["t"])
+    nearest = F.array_sort(F.collect_list(F.struct("n1", "n2", "n3", "n4", "n5", "v_t")))
+    parts = around.groupBy(*IMAGE, "l_block_idx", "l_pos", "l_sl", "l_t").agg(F.transform(nearest, lambda x: x["v_t"]).alias("parts"))
+    grown = parts.select(
+        *IMAGE, F.col("l_block_idx").alias("block_idx"), F.col("l_pos").alias("pos"), F.col("l_sl").alias("sl"),
+        X.company_name(_first_company(F.col("l_t"), F.col("parts"), front=True)["s"]).alias("name"), F.lit(None).cast("string").alias("address"),
+    ).filter("name IS NOT NULL")
+    first = whole.unionByName(grown).groupBy(*IMAGE).agg(
+        F.min_by(F.struct("name", "address", "pos", "sl"), "block_idx").alias("c")
+    ).select(*IMAGE, "c.*")
+    return _with_following_address(first, marked)
+
+
+def _with_following_address(first: DataFrame, marked: DataFrame) -> DataFrame:
+    """Companies without an address take the blocks behind them in reading order.
+
+    The lines end at a boundary or a trademark owner; a line counts only if it is about as level as
+    the last one that did; lines with a maker label are passed over; licence lines at the end go.
+    """
+    places = first.filter("address IS NULL").select(*IMAGE, F.col("pos").alias("c_pos"), F.col("sl").alias("c_sl"))
+    behind = marked.join(places, IMAGE).filter(F.col("pos") > F.col("c_pos"))
+    lines = behind.groupBy(*IMAGE, "c_sl").agg(F.array_sort(F.collect_list(F.struct("pos", "t", "sl", "anchor", "stop"))).alias("lines"))
+    none = F.array().cast("array<string>")
+    begin = F.struct(F.col("c_sl").alias("prev"), none.alias("out"), F.lit(True).alias("open"))
+
+    def step(acc, x):
+        kept = F.struct(
+            x["sl"].alias("prev"), F.when(x["anchor"], acc["out"]).otherwise(F.concat(acc["out"], F.array(x["t"]))).alias("out"), F.lit(True).alias("open")
+        )
+        ended = F.struct(acc["prev"].alias("prev"), acc["out"].alias("out"), F.lit(False).alias("open"))
+        return F.when(~acc["open"], acc).when(x["stop"], ended).when(plausible_slope(x["sl"], acc["prev"]), kept).otherwise(acc)
+
+    read = lines.select(*IMAGE, F.aggregate("lines", begin, step, lambda acc: acc["out"]).alias("parts"))
+    found = read.select(*IMAGE, _joined_without_end(F.col("parts"), V.LICENCE_OR_ARTICLE).alias("following"))
+    return first.join(found, IMAGE, "left").select(*IMAGE, "name", F.coalesce("address", "following").alias("address"))
 
 
 def raw_companies(raw: DataFrame) -> DataFrame:
@@ -303,15 +377,20 @@ def raw_companies(raw: DataFrame) -> DataFrame:
 
 
 def extract_maker(tagged: DataFrame, raw: DataFrame) -> DataFrame:
-    """EXT-03: manufacturerName and manufacturerAddress per image; the best tier wins."""
-    one = best_section(staged(section_names(sections(tagged))))
+    """EXT-03: manufacturerName and manufacturerAddress per image; the best tier wins.
+
+    The lower tiers look only at images whose name is still open.
+    """
+    one = best_section(staged(section_names(sections(tagged)))).withColumn("by_section", F.lit(True))
     two = labelled_lines(tagged).select(*IMAGE, F.col("name").alias("n2"), F.col("address").alias("a2"))
-    four = anchored_companies(tagged).select(*IMAGE, F.col("name").alias("n4"), F.col("address").alias("a4"))
-    five = raw_companies(raw).select(*IMAGE, F.col("name").alias("n5"))
-    both = one.join(two, IMAGE, "full").join(four, IMAGE, "full").join(five, IMAGE, "full")
-    by_section = F.col("name").isNotNull()
+    upper = staged(one.join(two, IMAGE, "full"))
+    open_ = lambda blocks, *named: reduce(lambda rows, x: rows.join(x, IMAGE, "left_anti"), named, blocks)
+    settled = upper.filter("name IS NOT NULL OR n2 IS NOT NULL").select(*IMAGE)
+    four = staged(anchored_companies(open_(tagged, settled))).select(*IMAGE, F.col("name").alias("n4"), F.col("address").alias("a4"))
+    five = raw_companies(open_(raw, settled, four.select(*IMAGE))).select(*IMAGE, F.col("name").alias("n5"))
+    both = upper.join(four, IMAGE, "full").join(five, IMAGE, "full")
     name = F.coalesce("name", "n2", "n4", "n5")
-    address = F.when(by_section, F.col("address")).when(F.col("n2").isNotNull(), F.col("a2")).otherwise(F.coalesce("a2", "a4"))
+    address = F.when(F.col("by_section"), F.col("address")).when(F.col("n2").isNotNull(), F.col("a2")).otherwise(F.coalesce("a2", "a4"))
     return both.select(
         *IMAGE, X.tail_trim(_clean_name(name)).alias("manufacturerName"), X.tail_trim(address).alias("manufacturerAddress")
     )

@@ -63,23 +63,28 @@ def row_ids(tops: pd.Series, bottoms: pd.Series) -> pd.Series:
     return pd.Series([_row_ids(t, b) for t, b in zip(tops, bottoms)], dtype=object)
 
 
-def visual_rows(blocks: DataFrame) -> DataFrame:
-    """WIN-4, exact: ``row_id`` per block.
+def rows_of_images(blocks: DataFrame, columns: list[str]) -> DataFrame:
+    """WIN-4, exact: the named columns of every block, and ``row_id``.
 
     The blocks of one image (one OCR result) are brought together in reading order and
-    scored as an array; images travel in Arrow batches instead of one call per image.
+    scored as an array; images travel in Arrow batches instead of one call per image. The
+    columns stay with the blocks, so nothing is joined back and the images stay where they are.
     """
     r1, r2, idx = reading_key()
     item = F.struct(
-        r1.alias("r1"), r2.alias("r2"), idx.alias("block_idx"),
-        F.col("y_min").cast("double").alias("lo"), F.col("y_max").cast("double").alias("hi"),
+        r1.alias("r1"), r2.alias("r2"), idx.alias("r3"), F.col("y_min").cast("double").alias("lo"),
+        F.col("y_max").cast("double").alias("hi"), F.struct(*[c for c in columns if c not in IMAGE]).alias("own"),
     )
     images = blocks.groupBy(*IMAGE).agg(F.array_sort(F.collect_list(item)).alias("bs"))
     pick = lambda name: F.transform("bs", lambda b: b[name])
-    scored = images.select(*IMAGE, pick("block_idx").alias("block_idx"), row_ids(pick("lo"), pick("hi")).alias("row_id"))
-    return scored.select(*IMAGE, F.explode_outer(F.arrays_zip("block_idx", "row_id")).alias("z")).select(
-        *IMAGE, "z.block_idx", "z.row_id"
-    )
+    scored = images.select(*IMAGE, pick("own").alias("own"), row_ids(pick("lo"), pick("hi")).alias("row_id"))
+    out = scored.select(*IMAGE, F.explode(F.arrays_zip("own", "row_id")).alias("z"))
+    return out.select(*IMAGE, "z.row_id", "z.own.*")
+
+
+def visual_rows(blocks: DataFrame) -> DataFrame:
+    """WIN-4, exact: ``row_id`` per block."""
+    return rows_of_images(blocks, ["block_idx"]).select(*IMAGE, "block_idx", "row_id")
 
 
 def visual_rows_by_gap(blocks: DataFrame) -> DataFrame:
@@ -100,10 +105,9 @@ def row_texts(blocks_with_rows: DataFrame, text: str = "t") -> DataFrame:
     part = F.struct(F.coalesce("x_min", "block_idx").alias("x"), F.col("block_idx"), F.col(text).alias("t"))
     parts = F.array_sort(F.collect_list(F.when(F.col(text) != "", part)))
     return blocks_with_rows.groupBy(*IMAGE, "row_id").agg(
-        F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("row_text")
+        F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("row_text"), F.count("*").alias("n")
     )
 
 
 def visual_row_texts(blocks: DataFrame) -> DataFrame:
-    rows = visual_rows(blocks)
-    return row_texts(blocks.join(rows, [*IMAGE, "block_idx"]))
+    return row_texts(rows_of_images(blocks, blocks.columns))

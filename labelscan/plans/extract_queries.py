@@ -272,6 +272,57 @@ def win_6(spark, sf):
     )
 
 
+# the six ways of maker_blocks_v, by literal outcome
+@query("ext_03_tiers", """SELECT product_id AS scan_id, image_idx, CASE product_key % 6 WHEN 0 THEN maker || ' Foods Pvt Ltd' WHEN 1 THEN maker || ' Foods Pvt Ltd' WHEN 2 THEN maker || ' Limited'
+  WHEN 3 THEN maker || ' Foods Pvt Ltd' WHEN 4 THEN maker || ' Foods' ELSE 'ofce ' || maker || ' Foods Pvt Ltd' END AS "manufacturerName",
+  CASE product_key % 6 WHEN 0 THEN 'Plot 4 Sector 63' WHEN 1 THEN NULL WHEN 2 THEN 'Plot 4, Sector 63, Noida - 201301' WHEN 3 THEN 'Plot 4 Sector 63' WHEN 4 THEN 'Plot 4' END AS "manufacturerAddress"
+FROM (SELECT *, coalesce(manufacturer_name, 'Unknown') AS maker FROM {images_v}) i""")
+def ext_03_tiers(spark, sf):
+    blocks = view(spark, sf, "maker_blocks_v").repartition("scan_id", "image_idx")
+    return MK.extract_maker(staged(EX.tag(EX.prepare(blocks))), EX.prepare(blocks, None)).select(
+        "scan_id", "image_idx", "manufacturerName", "manufacturerAddress"
+    ).filter("manufacturerName IS NOT NULL")
+
+
+# rows with running geometry, block by block; then the bands of boundary rows, and the lines of each header
+BOUNDARY = "(?i)^(net q|mrp|maximum retail|mfg|dom\\b|best before|batch|consumer care|country of|product of|unit sale|generic name)"
+GREEDY = f"""RECURSIVE tb AS (SELECT scan_id, image_idx, block_idx, trim(text) AS t, x_min, y_min AS lo, y_max AS hi,
+  row_number() OVER (PARTITION BY scan_id, image_idx ORDER BY y_min, x_min, block_idx) AS pos FROM {{tilted_blocks_v}} WHERE confidence >= 0.10),
+walk AS (
+  SELECT DISTINCT scan_id, image_idx, cast(0 AS bigint) AS pos, cast([] AS struct(lo int, hi int, h double, c double, n int)[]) AS rs, cast([] AS int[]) AS ids FROM tb
+  UNION ALL
+  SELECT scan_id, image_idx, pos + 1, CASE WHEN spot IS NULL THEN list_append(rs, cast(row(lo, hi, hi - lo, (lo + hi) / 2.0, 1) AS struct(lo int, hi int, h double, c double, n int)))
+      ELSE list_transform(rs, lambda r, i: CASE WHEN i = spot THEN cast(row(least(r.lo, lo), greatest(r.hi, hi), r.h + hi - lo, r.c + (lo + hi) / 2.0, r.n + 1) AS struct(lo int, hi int, h double, c double, n int)) ELSE r END) END,
+    list_append(ids, cast(coalesce(spot, len(rs) + 1) - 1 AS int))
+  FROM (SELECT w.*, tb.lo, tb.hi, nullif(coalesce(list_position(list_transform(w.rs, lambda r: greatest(0, least(tb.hi, r.hi) - greatest(tb.lo, r.lo)) / least(greatest(tb.hi - tb.lo, 1), r.h / r.n) >= 0.45
+      AND abs((tb.lo + tb.hi) / 2.0 - r.c / r.n) <= r.h / r.n * 0.75), true), 0), 0) AS spot
+    FROM walk w JOIN tb ON tb.scan_id = w.scan_id AND tb.image_idx = w.image_idx AND tb.pos = w.pos + 1) q),
+rowed AS (SELECT tb.*, f.ids[tb.pos] AS row_id FROM tb JOIN (SELECT scan_id, image_idx, arg_max(ids, pos) AS ids FROM walk GROUP BY scan_id, image_idx) f
+  ON f.scan_id = tb.scan_id AND f.image_idx = tb.image_idx)"""
+
+
+@query("win_4_tilted", f"WITH {GREEDY} SELECT scan_id, image_idx, block_idx, row_id FROM rowed")
+def win_4_tilted(spark, sf):
+    return RW.visual_rows(view(spark, sf, "tilted_blocks_v").filter("confidence >= 0.10"))
+
+
+@query("win_6_tilted", f"""WITH {GREEDY},
+band AS (SELECT scan_id, image_idx, min(lo) AS top, max(hi) AS bottom FROM rowed GROUP BY scan_id, image_idx, row_id
+  HAVING bool_or(regexp_matches(t, '{BOUNDARY}')) OR regexp_matches(string_agg(t, ' ' ORDER BY x_min, block_idx), '{BOUNDARY}')),
+flag AS (SELECT r.*, regexp_matches(t, '{BOUNDARY}') OR starts_with(t, 'Mfg by') OR EXISTS (SELECT 1 FROM band b WHERE b.scan_id = r.scan_id AND b.image_idx = r.image_idx
+  AND (least(b.bottom, r.hi) > greatest(b.top, r.lo) OR abs((r.lo + r.hi) / 2.0 - (b.top + b.bottom) / 2.0) <= 0.75 * greatest(b.bottom - b.top, 1))) AS stop,
+  regexp_matches(t, 'Ltd$') AS company FROM rowed r),
+head AS (SELECT h.scan_id, h.image_idx, h.pos, (SELECT min(s.pos) FROM flag s WHERE s.scan_id = h.scan_id AND s.image_idx = h.image_idx AND s.pos > h.pos AND (s.stop OR s.company)) AS ends
+  FROM flag h WHERE starts_with(h.t, 'Mfg by'))
+SELECT h.scan_id, h.image_idx, coalesce(string_agg(l.t, '|' ORDER BY l.pos), '') AS lines FROM head h
+LEFT JOIN flag l ON l.scan_id = h.scan_id AND l.image_idx = h.image_idx AND l.pos > h.pos AND l.pos < coalesce(h.ends, 1000) GROUP BY h.scan_id, h.image_idx, h.pos""")
+def win_6_tilted(spark, sf):
+    blocks = view(spark, sf, "tilted_blocks_v").repartition("scan_id", "image_idx")
+    return MK.sections(staged(EX.tag(EX.prepare(blocks)))).filter("NOT damaged").select(
+        "scan_id", "image_idx", F.array_join("lines", "|").alias("lines")
+    )
+
+
 query("srt_7", MAKER_SQL.split('AS "manufacturerName"')[0] + 'AS "manufacturerName" FROM h')(
     lambda spark, sf: MK.best_section(MK.section_names(MK.sections(tagged(spark, sf)))).select(
         "scan_id", "image_idx", F.col("name").alias("manufacturerName")

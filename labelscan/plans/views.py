@@ -199,6 +199,35 @@ FROM (
 WHERE text IS NOT NULL
 """
 
+# labels whose lines are out of level: every block has a height and a shift of its own
+_TILT = "(cast(scan_id AS int) * 7 + block_idx * 13) % 19 - 9"
+VIEWS["tilted_blocks_v"] = f"""
+SELECT scan_id, image_idx, block_idx, text, confidence, x_min, cast(y_min + {_TILT} AS int) AS y_min, x_max,
+  cast(y_max + {_TILT} + (cast(scan_id AS int) * 5 + block_idx * 3) % 12 AS int) AS y_max
+FROM {{ocr_blocks_v}}
+"""
+
+# labels that name their maker in one of six ways, by scan: a header, a maker line, an address line, a company
+# beside a mark, a company in two pieces, a line below the minimum confidence
+VIEWS["maker_blocks_v"] = """
+SELECT scan_id, image_idx, block_idx, text, CASE WHEN k % 6 = 5 AND block_idx = 1 THEN 0.05 ELSE 0.9 END AS confidence,
+  b_left AS x_min, cast(26 * block_idx + (k + block_idx) % 4 AS int) AS y_min, b_right AS x_max, cast(26 * block_idx + 20 + (k + block_idx) % 4 AS int) AS y_max
+FROM (
+  SELECT product_id AS scan_id, product_key AS k, image_idx, b.block_idx, b.b_left, b.b_right,
+    CASE product_key % 6
+      WHEN 0 THEN CASE b.block_idx WHEN 1 THEN ('Packed by ' || maker || ' Foods Pvt Ltd') WHEN 2 THEN 'Plot 4' WHEN 3 THEN 'Sector 63' WHEN 4 THEN 'licence 9' END
+      WHEN 1 THEN CASE b.block_idx WHEN 1 THEN ('Made by ' || maker) WHEN 2 THEN 'Foods Pvt Ltd' WHEN 3 THEN 'Plot 4, Sector 63, Noida - 201301' END
+      WHEN 2 THEN CASE b.block_idx WHEN 1 THEN ('Corp. Office: ' || maker || ' Limited') WHEN 2 THEN 'Plot 4, Sector 63, Noida - 201301' END
+      WHEN 3 THEN CASE b.block_idx WHEN 1 THEN 'in Bengal by' WHEN 2 THEN (maker || ' Foods Pvt Ltd') WHEN 3 THEN 'Plot 4' WHEN 4 THEN 'Sector 63' WHEN 5 THEN 'under licence 9' END
+      WHEN 4 THEN CASE b.block_idx WHEN 1 THEN maker WHEN 2 THEN 'Foods' WHEN 4 THEN 'ofce' WHEN 5 THEN 'Plot 4' END
+      ELSE CASE b.block_idx WHEN 1 THEN ('ofce ' || maker || ' Foods Pvt Ltd') WHEN 2 THEN 'Plot 4, Sector 63, Noida - 201301' END
+    END AS text
+  FROM (SELECT i.*, coalesce(manufacturer_name, 'Unknown') AS maker FROM {images_v} i) t
+  [[b(block_idx, b_left, b_right): (1, 20, 320), (2, 20, 160), (3, 20, 200), (4, 20, 120), (5, 20, 220)]]
+) x
+WHERE text IS NOT NULL
+"""
+
 # ``[[name(cols): (..), (..)]]`` repeats every row once per tuple: a generator in
 # Spark, a join with a VALUES list for the checker
 _TIMES = re.compile(r"\[\[(\w+)\(([^)]*)\):\s*(.*?)\]\]", re.S)
@@ -261,6 +290,7 @@ def oracle(sql: str) -> str:
     head = ",\n".join(f"{n} AS ({bind(VIEWS[n])})" for n in parts)
     if not head:
         return bind(own)
-    if own[:5].upper() == "WITH ":
-        return f"WITH {head},\n{bind(own[5:])}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if own.upper().startswith(start):
+            return f"{start}{head},\n{bind(own[len(start):])}"
     return f"WITH {head}\n{bind(own)}"

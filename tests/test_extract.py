@@ -46,6 +46,17 @@ LABELS = [
     image("damaged", "Manufacturcd by Acme Foods Pvt Ltd"),
     image("allergen", "Manufactured in a facility that processes nuts Foods Pvt Ltd"),
     image("noise", ("MRP Rs. 77.00", 0.05)),
+    image("unsure", ("MRP", 0.9, 10, 0, 60, 20), ("Rs. 99.50", None, 80, 2, 160, 20)),
+    # a company without a label of its own, and the address behind it
+    image("behind", "in Bengal by", "Acme Foods Pvt Ltd", "Plot 4", "under licence 7", "Sector 9", "Art. 55", "Net Qty: 5 g", "Sector 11"),
+    image("behind_mark", "in Bengal by", "Acme Foods Pvt Ltd", "Plot 4", "in Bihar by hand", "Sector 9", "TM Owner: Acme", "Sector 11"),
+    image("far", "in Bengal by", ("Acme Foods Pvt Ltd", 0.9, 10, 200, 300, 220), ("Plot 4", 0.9, 10, 230, 300, 250)),
+    image("own_address", "in Bengal by", "Acme Foods Pvt Ltd Plot 4, Sector 63, Noida - 201301", "Sector 9"),
+    # a company of one word grows by its neighbours, nearest first
+    image("one_word", ("Golden Wheat", 0.9, 10, 0, 120, 20), ("Foods", 0.9, 10, 25, 70, 45), ("ofce", 0.9, 10, 70, 50, 90), ("Plot 4", 0.9, 10, 100, 90, 120)),
+    image("one_word_far", ("Foods", 0.9, 10, 0, 70, 20), ("Phone 12", 0.9, 10, 25, 90, 45), ("ofce", 0.9, 10, 60, 50, 80), ("Golden", 0.9, 10, 300, 80, 320)),
+    image("two_steps", ("Foods", 0.9, 10, 0, 70, 20), ("Phone 12", 0.9, 10, 25, 90, 45), ("Sunrise", 0.9, 10, 50, 90, 70), ("ofce", 0.9, 10, 72, 50, 92)),
+    image("allergen_near", ("Golden", 0.9, 10, 60, 90, 80), ("may contain nuts", 0.9, 10, 22, 90, 40), ("Foods", 0.9, 10, 0, 70, 20), ("ofce", 0.9, 400, 30, 450, 50)),
 ]
 EXPECTED = {
     "full": {
@@ -64,7 +75,15 @@ EXPECTED = {
     "importer_next": {"importerName": "Acme Traders Pvt Ltd"}, "licence": {"consumerCare": None},
     "name": {"productName": "Green Tea"}, "question": {"productName": None},
     "continued": {"manufacturerName": "Sunrise Consumer Products Pvt Ltd", "manufacturerAddress": "Sector 5, New Delhi - 110001"},
-    "damaged": {"manufacturerName": "Acme Foods Pvt Ltd"}, "allergen": {"manufacturerName": None},
+    "damaged": {"manufacturerName": "Acme Foods Pvt Ltd"}, "allergen": {"manufacturerName": None}, "unsure": {"mrp": None},
+    "behind": {"manufacturerName": "Acme Foods Pvt Ltd", "manufacturerAddress": "Plot 4 under licence 7 Sector 9"},
+    "behind_mark": {"manufacturerName": "Acme Foods Pvt Ltd", "manufacturerAddress": "Plot 4 Sector 9"},
+    "far": {"manufacturerName": None, "manufacturerAddress": None},
+    "own_address": {"manufacturerName": "Acme Foods Pvt Ltd", "manufacturerAddress": "Plot 4, Sector 63, Noida - 201301"},
+    "one_word": {"manufacturerName": "Golden Wheat Foods", "manufacturerAddress": "Plot 4"},
+    "one_word_far": {"manufacturerName": "ofce Phone 12 Foods", "manufacturerAddress": None},
+    "two_steps": {"manufacturerName": "Sunrise Phone 12 Foods"},
+    "allergen_near": {"manufacturerName": "ofce Foods"},
 }
 
 
@@ -83,3 +102,77 @@ def test_label(found, label):
 def test_faint_blocks_are_left_out(found):
     # an image without a usable block keeps its row
     assert found["noise"]["extraction_confidence"] == "LOW" and found["noise"]["mrp"] is None
+
+
+def test_address_behind_a_company_keeps_to_its_slant(spark):
+    """Lines as level as the last accepted one; a steep block between them is left out."""
+    from labelscan.operators.maker import anchored_companies
+
+    lines = [("in Bengal by", 0.0), ("Acme Foods Pvt Ltd", 0.2), ("Plot 4", 0.23), ("Village", 9.0), ("Sector 9", 0.26), ("Phase 2", 0.05), ("Lane 3", 0.2)]
+    rows = [("s", 0, i, t, 10, 30 * i, 200, 30 * i + 20, sl, None) for i, (t, sl) in enumerate(lines)]
+    tagged = spark.createDataFrame(rows, "scan_id string, image_idx int, block_idx int, t string, x_min int, y_min int, x_max int, y_max int, slope double, concept string")
+    # 0.05 is level; 0.2 after it is neither level nor as slanted
+    assert [tuple(r) for r in anchored_companies(tagged).collect()] == [("s", 0, "Acme Foods Pvt Ltd", "Plot 4 Sector 9 Phase 2")]
+
+
+def marks(blocks, boundary):
+    """Places at the height of a row with a boundary, straight from the rules; blocks are (top, bottom, left, text)."""
+    rows = []
+    for i, (top, bottom, _, _) in enumerate(blocks):
+        for row in rows:
+            tops, ends = [blocks[k][0] for k in row], [blocks[k][1] for k in row]
+            height = sum(e - t for t, e in zip(tops, ends, strict=True)) / len(row)
+            centre = sum((t + e) / 2 for t, e in zip(tops, ends, strict=True)) / len(row)
+            shared = max(0, min(bottom, max(ends)) - max(top, min(tops)))
+            if shared / min(max(bottom - top, 1), height) >= 0.45 and abs((top + bottom) / 2 - centre) <= 0.75 * height:
+                row.append(i)
+                break
+        else:
+            rows.append([i])
+    out = set()
+    for row in rows:
+        text = " ".join(blocks[k][3] for k in sorted(row, key=lambda k: blocks[k][2]))
+        if any(boundary(x) for x in [text, *(blocks[k][3] for k in row)]):
+            top, bottom = min(blocks[k][0] for k in row), max(blocks[k][1] for k in row)
+            for i, (t, b, _, _) in enumerate(blocks):
+                if min(bottom, b) > max(top, t) or abs((t + b) / 2 - (top + bottom) / 2) <= 0.75 * max(bottom - top, 1):
+                    out.add(i)
+    return out
+
+
+def test_boundary_rows_follow_running_rows_and_bands(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from labelscan.functions import labels as L
+    from labelscan.operators import maker as MK
+    from labelscan.operators.rows import visual_rows_by_gap
+    from labelscan.operators.spatial import reading_order
+
+    r = random.Random(11)
+    images, rows = {}, []
+    for k in range(60):
+        scale = r.choice([1, 1, 40])  # some images are taller than a stripe
+        blocks = []
+        for i in range(r.randint(1, 14)):
+            top = r.randint(0, 150)
+            blocks.append((top * scale, (top + r.randint(10, 30)) * scale, r.randrange(0, 10_000) , r.choice(["Plot", "Road", "Area", "Mocel", "Number", "MRP 10", "Couniyo"])))
+        blocks.sort(key=lambda b: (b[0], b[2]))
+        images[f"i{k}"] = blocks
+        rows += [(f"i{k}", 0, i, t, x, a, x + 50, b) for i, (a, b, x, t) in enumerate(blocks)]
+    frame = spark.createDataFrame(rows, "scan_id string, image_idx int, block_idx int, t string, x_min int, y_min int, x_max int, y_max int")
+    frame = reading_order(frame).withColumn("bnd_self", L.is_section_boundary(F.col("t"), L.canonical_label(F.col("t"))))
+    got = {}
+    for x in MK._row_boundaries(frame).filter("row_bnd").collect():
+        got.setdefault(x.scan_id, set()).add(x.block_idx)
+    boundary = lambda x: x in known
+    asked = set()
+    for v in images.values():
+        marks(v, lambda x: bool(asked.add(x)))
+    known = {x.x for x in spark.createDataFrame([(x,) for x in asked], "x string").filter(L.is_section_boundary(F.col("x"), L.canonical_label(F.col("x")))).collect()}
+    assert got == {k: m for k, v in images.items() if (m := marks(v, boundary))}
+    # the images are such that rows by gaps alone would differ
+    by_gap = {(x.scan_id, x.block_idx): x.row_id for x in visual_rows_by_gap(frame).collect()}
+    exact = {(x.scan_id, x.block_idx): x.row_id for x in MK.rows_of_images(frame, ["block_idx"]).collect()}
+    assert by_gap != exact
