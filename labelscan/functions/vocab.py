@@ -16,6 +16,7 @@ DIGIT_CLASS = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]"
 # --- fixed values: statuses ---------------------------------------------------
 PASS, FAIL = "PASS", "FAIL"
 MANUAL_REVIEW, NOT_APPLICABLE = "MANUAL_REVIEW", "NOT_APPLICABLE"
+RULE_FAILURE = "Internal rule execution failure: "
 COMPLIANT, NON_COMPLIANT, PARTIAL = "COMPLIANT", "NON_COMPLIANT", "PARTIAL"
 SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"]
 EVIDENCE_SOURCES = ["STRUCTURED_INPUT", "OCR", "IMAGE_ANALYSIS", "USER_INPUT", "UNKNOWN"]

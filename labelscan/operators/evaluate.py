@@ -56,8 +56,9 @@ def _complete(products: DataFrame) -> DataFrame:
 def _coded(products: DataFrame, suite: Suite) -> tuple[DataFrame, list[str]]:
     full = _complete(products)
     names = full.columns
+    # custom results once per product, ahead of anything that repeats its rows or walks its codes
     return full.select(
-        "*", suite.codes().alias("codes"), _target_values(suite, names).alias("target_values")
+        "*", suite.codes().alias("codes"), _target_values(suite, names).alias("target_values"), *suite.custom_columns()
     ), names
 
 

@@ -118,9 +118,13 @@ class Suite:
         """A constant of the rule at 0-based position ``pos``."""
         return self._pick([attribute(r) for r in self.rules], pos)
 
+    def custom_columns(self) -> list[Column]:
+        """The results of custom rules, as columns that the lookups refer to."""
+        return [make().alias(f"custom_{at}") for at, make in self.custom.items()]
+
     def _with_custom(self, out: Column, code: Column, name: str) -> Column:
-        for at, make in self.custom.items():
-            out = F.when(code == at, make().getField(name)).otherwise(out)
+        for at in self.custom:
+            out = F.when(code == at, F.col(f"custom_{at}").getField(name)).otherwise(out)
         return out
 
     def status(self, code: Column) -> Column:

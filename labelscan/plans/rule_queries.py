@@ -8,6 +8,7 @@ from labelscan.functions import vocab as V
 from labelscan.functions.text import quantity_category
 from labelscan.operators import evaluate as E
 from labelscan.operators import rules as R
+from labelscan.operators.custom import python_rule
 from labelscan.plans.registry import query
 from labelscan.plans.views import view
 
@@ -307,6 +308,39 @@ def udf_1(spark, sf):
     )
 
 
+FAILURE = "'Internal rule execution failure: '"
+
+
+@query("udf_1_raising", f"""
+SELECT product_id, 'CUSTOM-PRICE' AS rule_id, CASE WHEN mrp IS NULL OR mrp = 'MRP on pack' THEN 'FAIL' ELSE 'PASS' END AS status,
+  CASE WHEN mrp IS NULL OR mrp = 'MRP on pack' THEN 'CRITICAL' ELSE 'LOW' END AS severity,
+  CASE WHEN mrp IS NULL THEN {FAILURE} || 'no mrp' WHEN mrp = 'MRP on pack' THEN {FAILURE} || 'no price in MRP on pack' ELSE 'Price found.' END AS message FROM {{products_v}}
+UNION ALL SELECT product_id, 'CUSTOM-MONTH', CASE WHEN month_of_packing IS NULL THEN 'NOT_APPLICABLE' WHEN month_of_packing = '13' THEN 'FAIL' ELSE 'PASS' END,
+  CASE WHEN month_of_packing = '13' THEN 'CRITICAL' ELSE 'MEDIUM' END,
+  CASE WHEN month_of_packing IS NULL THEN 'Rule ''CUSTOM-MONTH'' is not applicable for this product configuration.' WHEN month_of_packing = '13' THEN {FAILURE} || 'month 13' ELSE 'Month is valid.' END
+FROM {{products_v}}""")
+def udf_1_raising(spark, sf):
+    """Two Python rules that raise for some products, one by row and one by batch, beside each other."""
+
+    def price(row):
+        if row["mrp"] is None:
+            raise TypeError("no mrp")
+        if not any(c.isdigit() for c in row["mrp"]):
+            raise ValueError(f"no price in {row['mrp']}")
+        return V.PASS, "Price found."
+
+    def month(rows):
+        if (rows["month_of_packing"] == "13").any():
+            raise ValueError("month 13")
+        return rows.assign(status=V.PASS, severity="MEDIUM", message="Month is valid.")
+
+    rules = [
+        python_rule("CUSTOM-PRICE", "Price", price, ["mrp"], severity="LOW"),
+        python_rule("CUSTOM-MONTH", "Month", month, ["monthOfPacking"], by_batch=True, severity="MEDIUM", applicable=lambda: F.col("month_of_packing").isNotNull()),
+    ]
+    return E.rule_results(view(spark, sf, "products_v"), rules).select("product_id", "rule_id", "status", "severity", "message")
+
+
 @query("udf_2", """
 SELECT product_id, 'CUSTOM-MIN' AS rule_id, 'PASS' AS status, 'HIGH' AS severity, 'general' AS field,
   cast(NULL AS string) AS evidence_value FROM {products_v}""")

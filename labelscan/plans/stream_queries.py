@@ -93,8 +93,32 @@ def str_1(spark, sf):
     )
 
 
+def arrive(spark, sf, repeats, take):
+    """The scans in five runs of a stream, out of order: every run brings a fifth of all days of the year.
+
+    With ``repeats`` every other run also brings the scans of all earlier ones again. ``take`` starts the
+    query over the stream; each run starts anew from the checkpoint of the run before it.
+    """
+    folder = _fresh(spark)[0]
+    scans = table(spark, sf, "events").select(
+        F.col("event_id").cast("string").alias("scan_id"), F.col("ts").cast("timestamp").alias("ts"), F.expr(STREAM_STATUS).alias("compliance_status")
+    )
+    part = F.pmod(-F.dayofyear("ts"), F.lit(5))
+    for k in range(5):
+        again = (part < k) & F.lit(repeats and k % 2 == 1)
+        scans.filter(part == k).unionByName(scans.filter(again)).write.mode("append").parquet(folder)
+        take(spark.readStream.schema(scans.schema).parquet(folder)).awaitTermination()
+
+
 @query("str_2", f"SELECT cast(event_id AS varchar) AS scan_id, {STREAM_STATUS} AS compliance_status FROM events")
 def str_2(spark, sf):
+    data, checkpoint = _fresh(spark)
+    arrive(spark, sf, True, lambda scans: FL.keep_first(scans, data, checkpoint))
+    return FL.first_arrivals(spark, data, "scan_id string, ts timestamp, compliance_status string").select("scan_id", "compliance_status")
+
+
+@query("str_2_bounded", f"SELECT cast(event_id AS varchar) AS scan_id, {STREAM_STATUS} AS compliance_status FROM events")
+def str_2_bounded(spark, sf):
     once = event_stream(spark, sf)
     twice = once.unionByName(event_stream(spark, sf))  # every scan arrives two times
     data, checkpoint = _fresh(spark)
@@ -105,14 +129,9 @@ def str_2(spark, sf):
 @query("str_3", f"""SELECT cast(ts AS date) AS day, count(*) FILTER (WHERE s = 'COMPLIANT') AS passed, count(*) FILTER (WHERE s = 'NON_COMPLIANT') AS failed,
   count(*) FILTER (WHERE s = 'PARTIAL') AS warning FROM (SELECT ts, {STREAM_STATUS} AS s FROM events) e GROUP BY 1""")
 def str_3(spark, sf):
-    name = f"daily_{uuid.uuid4().hex}"
-    # complete mode: the result has one row per day, which is what a memory table may hold
-    q = (
-        FL.daily_status(event_stream(spark, sf)).writeStream.format("memory").queryName(name)
-        .outputMode("complete").option("checkpointLocation", _fresh(spark)[1]).trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    return spark.table(name)
+    data, checkpoint = _fresh(spark)
+    arrive(spark, sf, False, lambda scans: FL.upsert_daily_status(scans, data, checkpoint))
+    return FL.daily_counts(spark, data)
 
 
 # --- jobs ----------------------------------------------------------------------------------------------

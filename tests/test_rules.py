@@ -104,3 +104,39 @@ def test_registry_and_custom_rules(products):
     assert (row.status, row.severity, row.message) == ("FAIL", "LOW", "no")
     registry.clear()
     assert E.evaluate_products(products, registry.all()).filter("overall_status <> 'PASS'").count() == 0
+
+
+def test_rules_that_raise_fail_their_own_row(spark):
+    from labelscan.operators.custom import python_rule
+
+    rows = [(str(i), v) for i, v in enumerate(["10", "x", None, "7", "", "99", "seven"])]
+    products = spark.createDataFrame(rows, "product_id string, mrp string")
+    calls = lambda row: ("PASS" if int(row["mrp"]) < 50 else "FAIL", "a number", *(["LOW"] if row["mrp"] == "7" else []))
+
+    def batch(frame):
+        if frame["mrp"].isna().any():
+            raise ValueError("a gap")
+        return frame.assign(status="PASS", severity="LOW", message=frame["mrp"])
+
+    suite = [
+        python_rule("ROW", "by row", calls, ["mrp"]), python_rule("BATCH", "by batch", batch, ["mrp"], by_batch=True),
+        python_rule("ODD", "no status", lambda row: ("MAYBE", "?"), ["mrp"]), python_rule("SHORT", "too few", lambda frame: frame.iloc[:0], ["mrp"], by_batch=True),
+        R.Rule("STOCK", "stock", branches=(R.Branch(lambda: F.lit(True), "PASS", "ok"),)),
+    ]
+    got = {}
+    for r in E.rule_results(products.repartition(1), suite).collect():
+        got.setdefault(r.rule_id, {})[r.product_id] = (r.status, r.severity, r.message)
+    error = "Internal rule execution failure: "
+    bad = lambda x: ("FAIL", "CRITICAL", error + x)
+    invalid = "invalid literal for int() with base 10: "
+    assert {k: v for k, v in got["ROW"].items() if k != "2"} == {
+        "0": ("PASS", "HIGH", "a number"), "1": bad(invalid + "'x'"), "3": ("PASS", "LOW", "a number"), "4": bad(invalid + "''"),
+        "5": ("FAIL", "HIGH", "a number"), "6": bad(invalid + "'seven'"),
+    }
+    assert got["ROW"]["2"][:2] == ("FAIL", "CRITICAL") and "NoneType" in got["ROW"]["2"][2]
+    assert got["BATCH"] == {i: ("PASS", "LOW", v) if v is not None else bad("a gap") for i, v in rows}
+    assert set(got["ODD"].values()) == {bad("no known status: MAYBE")}
+    assert set(got["SHORT"].values()) == {bad("0 results for 1 rows")} and set(got["STOCK"].values()) == {("PASS", "HIGH", "ok")}
+    overall = {r.product_id: r.overall_status for r in E.evaluate_products(products, suite).collect()}
+    assert set(overall.values()) == {"FAIL"}
+    assert E.rule_results(products.limit(0), suite).count() == 0
