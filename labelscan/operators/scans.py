@@ -100,7 +100,8 @@ def orphan_scans(scans: DataFrame, users: DataFrame) -> DataFrame:
 
 
 # --- lists -----------------------------------------------------------------------------------
-def _latest() -> list[Column]:
+def latest_first() -> list[Column]:
+    """Order of the listing: newest first, ties by scan id."""
     return [F.col("ts").desc(), F.col("scan_id")]
 
 
@@ -108,7 +109,7 @@ def page(scans: DataFrame, user_id: str | None = None, page: int = 1, limit: int
     """SRT-1: one page, newest first; ties by scan id. ``limit`` must be 1 to 100, ``page`` 1 or more."""
     if not 1 <= limit <= 100 or page < 1:
         raise ValueError("limit must be 1 to 100 and page 1 or more")
-    return of_user(scans, user_id).orderBy(*_latest()).offset((page - 1) * limit).limit(limit)
+    return of_user(scans, user_id).orderBy(*latest_first()).offset((page - 1) * limit).limit(limit)
 
 
 def numbered_page(
@@ -119,7 +120,7 @@ def numbered_page(
     The page has at most 100 rows, so the ordering window sees only those.
     """
     rows = page(scans, user_id, page_no, limit)
-    number = F.row_number().over(Window.orderBy(*_latest())) + F.lit((page_no - 1) * limit)
+    number = F.row_number().over(Window.orderBy(*latest_first())) + F.lit((page_no - 1) * limit)
     return rows.withColumn("row_number", number)
 
 
@@ -140,13 +141,13 @@ def page_info(scans: DataFrame, user_id: str | None, page: int, limit: int) -> D
 
 def recent(scans: DataFrame, n: int = 5) -> DataFrame:
     """SRT-3: the newest ``n`` scans."""
-    return scans.orderBy(*_latest()).limit(n)
+    return scans.orderBy(*latest_first()).limit(n)
 
 
 def notifications(scans: DataFrame, window: int = 20, n: int = 5) -> DataFrame:
     """SRT-4: problem scans among the newest ``window``, at most ``n``."""
-    newest = scans.orderBy(*_latest()).limit(window)
-    return newest.filter(is_problem(F.col("compliance_status"))).orderBy(*_latest()).limit(n)
+    newest = scans.orderBy(*latest_first()).limit(window)
+    return newest.filter(is_problem(F.col("compliance_status"))).orderBy(*latest_first()).limit(n)
 
 
 def latest_per_user(scans: DataFrame, k: int) -> DataFrame:
@@ -155,7 +156,7 @@ def latest_per_user(scans: DataFrame, k: int) -> DataFrame:
     The rank filter becomes a per-partition group limit before the shuffle, so a
     user with a third of all scans ships at most ``k`` rows per input partition.
     """
-    w = Window.partitionBy("user_id").orderBy(*_latest())
+    w = Window.partitionBy("user_id").orderBy(*latest_first())
     return scans.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

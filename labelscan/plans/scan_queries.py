@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelscan.operators import analytics as A
 from labelscan.operators import scans as S
 from labelscan.plans.registry import query
 from labelscan.plans.views import sql_on, table, view
+from labelscan.session import checkpoint_folder
+from labelscan.sources.scan_table import ScanTable
 
 NOW = "2001-08-02 00:00:00"
 DISPLAY = "CASE compliance_status WHEN 'COMPLIANT' THEN 'Compliant' WHEN 'NON_COMPLIANT' THEN 'Non-Compliant' ELSE 'Partial' END"
@@ -305,3 +311,58 @@ def set_1(spark, sf):
     scans = view(spark, sf, "scan_core_v")
     first, second = S.page(scans, None, 1, 100), S.page(scans, None, 2, 100)
     return first.unionByName(second).select("scan_id")
+
+
+# --- the laid-out table --------------------------------------------------------------------------
+_TABLES: dict = {}
+
+
+def scan_table(spark, sf):
+    """All scans in three appends, of which the last two bring known scans again; written once per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TABLES:
+        stored = ScanTable(spark, f"{checkpoint_folder(spark)}/scans-{uuid.uuid4().hex}", unit="month")
+        scans = view(spark, sf, "scans_v")
+        third = F.col("scan_key") % 3
+        for k in range(3):
+            stored.append(scans.filter(third <= k).drop("scan_key"))
+        _TABLES[key] = stored
+    return _TABLES[key]
+
+
+@query("src_6_table", """SELECT scan_id, user_id, cast(ts AS date) AS scan_date, compliance_status, product_name, manufacturer, batch_number FROM {scans_v}""")
+def src_6_table(spark, sf):
+    return scan_table(spark, sf).rows().select("scan_id", "user_id", "scan_date", "compliance_status", "product_name", "manufacturer", "batch_number")
+
+
+@query("flt_4_table", f"""SELECT scan_id, 'Today' AS span FROM {{scan_core_v}} WHERE cast({LOCAL} AS date) = cast(timestamp '2001-08-01 20:00:00' + INTERVAL 330 MINUTE AS date)
+UNION ALL SELECT scan_id, 'Last 7 Days' FROM {{scan_core_v}} WHERE ts <= timestamp '2001-08-02 00:00:00' AND ts >= timestamp '2001-07-26 00:00:00'
+UNION ALL SELECT scan_id, 'Last 30 Days' FROM {{scan_core_v}} WHERE ts <= timestamp '2001-08-02 00:00:00' AND ts >= timestamp '2001-07-03 00:00:00'""")
+def flt_4_table(spark, sf):
+    stored = scan_table(spark, sf)
+    pick = lambda span, at: stored.in_span(span, at).select("scan_id", F.lit(span).alias("span"))
+    return pick("Today", "2001-08-01 20:00:00").unionByName(pick("Last 7 Days", NOW)).unionByName(pick("Last 30 Days", NOW))
+
+
+@query("flt_6_table", """SELECT scan_id, user_id, compliance_status FROM {scan_core_v} WHERE scan_id IN ('scan-42', 'scan-7')
+UNION ALL SELECT scan_id, user_id, compliance_status FROM {scan_core_v} WHERE scan_id = 'scan-0' AND user_id = 'nobody'""")
+def flt_6_table(spark, sf):
+    stored = scan_table(spark, sf)
+    found = [stored.get("scan-42"), stored.get("scan-7"), stored.get("scan-0", "nobody"), stored.get("no such scan")]
+    return reduce(DataFrame.unionByName, found).select("scan_id", "user_id", "compliance_status")
+
+
+@query("srt_1_table", """SELECT scan_id, page FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, scan_id) AS r FROM {scan_core_v}) s
+JOIN (VALUES (1, 'first', 1, 20), (2, 'deep', 701, 750), (3, 'behind', 751, 790)) p(o, page, a, b) ON r BETWEEN a AND b""")
+def srt_1_table(spark, sf):
+    """The first page, a page by number, and the page behind its last row by key."""
+    stored = scan_table(spark, sf)
+    deep = stored.page(15, 50)
+    last = deep.orderBy(F.col("ts"), F.col("scan_id").desc()).first()
+    pages = {"first": stored.page(), "deep": deep, "behind": stored.page_after(last.ts, last.scan_id, 40)}
+    return reduce(DataFrame.unionByName, [rows.select("scan_id", F.lit(name).alias("page")) for name, rows in pages.items()])
+
+
+@query("agg_15_table", TREND)
+def agg_15_table(spark, sf):
+    return A.rolling_trend(scan_table(spark, sf).since_days(NOW, 7), NOW)
