@@ -153,6 +153,19 @@ def _pairs(lists: DataFrame, others: DataFrame, percent: int, more=None) -> Data
     return met.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
 
 
+def _all_pairs(lists: DataFrame, percent: int, more=None) -> DataFrame:
+    """Pairs (a < b) of classes that share a list, each made once: under the smallest value that lists both.
+
+    Close classes share most of their lists, so this makes a small part of the rows that every list would.
+    """
+    by_class = lists.groupBy("key").agg(F.collect_set("value").alias("listed"))
+    full = lists.join(by_class, "key")
+    near = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
+    first = F.array_min(F.array_intersect("listed", "listed2")) == F.col("value")
+    met = full.join(_second(full), "value").where((F.col("key") < F.col("key2")) & near & (F.lit(True) if more is None else more) & first)
+    return met.select(F.col("key").alias("a"), F.col("key2").alias("b"))
+
+
 def _second(lists: DataFrame) -> DataFrame:
     return lists.select("value", *[F.col(c).alias(f"{c}2") for c in lists.columns if c != "value"])
 
@@ -232,7 +245,8 @@ def _long_labels(lists: DataFrame, classes: DataFrame, docs: DataFrame, labels:
             others = staged(best.select("value", "p.key", "p.n", "p.c", "p.bins", "p.comp"))
             now = others.select("value", "key")
             done = now if done is None else done.union(now)
-        pairs = _pairs(named, _second(others), percent, possible & (F.col("comp") != F.col("comp2")))
+        apart = possible & (F.col("comp") != F.col("comp2"))
+        pairs = _all_pairs(named, percent, apart) if last else _pairs(named, _second(others), percent, apart)
         new = staged(_links(_likely(pairs, classes, percent, k), sets, percent))
         found = new.limit(1).count() > 0
         if found:
@@ -257,7 +271,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUND
     lists = staged(_lists(classes, percent, k))
     sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("classes"))
     short = lists.join(sizes.where(F.col("classes").between(2, SHORT)).select("value"), "value")
-    likely = _likely(_pairs(short, _second(short), percent), classes, percent, k)
+    likely = _likely(_all_pairs(short, percent), classes, percent, k)
     # texts of one doc_id are linked by it
     ids = full.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("doc_id", "a")
     same = full.join(ids, "doc_id").where("key <> a").select("a", F.col("key").alias("b")).distinct()
