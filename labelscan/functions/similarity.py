@@ -10,6 +10,7 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +41,36 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+def ratio_bound(a: Column, b: Column) -> Column:
+    """What the ratio of two texts cannot exceed: twice their common letters, as a multiset, by their lengths."""
+    count = lambda text, letter: F.length(text) - F.length(F.replace(text, letter, F.lit("")))
+    letters = F.array_distinct(F.split(a, ""))
+    common = F.aggregate(letters, F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x)))
+    return F.when(F.length(a) + F.length(b) == 0, F.lit(1.0)).otherwise(2.0 * common / (F.length(a) + F.length(b)))
+
+
+def length_bound(a: Column, b: Column) -> Column:
+    """A cheaper, higher bound of the ratio, by lengths alone."""
+    total = F.length(a) + F.length(b)
+    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.least(F.length(a), F.length(b)) / total)
+
+
+def with_similarity(rows: DataFrame, a: str, b: str, least: float = 0.0, name: str = "ratio") -> DataFrame:
+    """``rows`` with the ratio of two text columns in ``name`` (UDF-3).
+
+    Distinct pairs that the bounds leave are scored once and joined back, so a pair that fills a third of the
+    table is scored once too. Null where a text is null or the ratio is below ``least``. Other columns stay as
+    they are, repeated rows as well; ``a``, ``b`` and ``name`` must be unambiguous names.
+    """
+    both = rows.select(F.col(a).alias("_a"), F.col(b).alias("_b")).filter("_a IS NOT NULL AND _b IS NOT NULL")
+    if least > 0:
+        x, y = F.col("_a"), F.col("_b")
+        both = both.filter((length_bound(x, y) >= least) & (ratio_bound(x, y) >= least))
+    scored = both.distinct().select("_a", "_b", similarity(F.col("_a"), F.col("_b")).alias(name)).filter(F.col(name) >= least)
+    same = (F.col(a) == F.col("_a")) & (F.col(b) == F.col("_b"))
+    return rows.join(scored, same, "left").drop("_a", "_b")
+
+
 class FixedWords:
     """A fixed list of words, each indexed once, that texts are compared with.
 

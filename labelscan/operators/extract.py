@@ -399,7 +399,8 @@ def _sides(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
 def pair_matches(tagged: DataFrame) -> DataFrame:
     """Branches where a label block is paired with a neighbouring value block."""
     labels, values = _sides(tagged)
-    p = pairs(labels, values, ["x"], ["x", "ctx"])
+    # any value below serves (values are valid ones), so the nearest settles its label
+    p = pairs(labels, values, ["x"], ["x", "ctx"], nearest=True)
     label, value, field = F.col("l_x"), F.col("v_x"), F.col("field")
     rank = [F.col(c) for c in ("n1", "n2", "n3", "n4", "n5")]
     k = lambda branch, order=None, pass_no=0: match_key(pass_no, order or by_index("l_"), branch, rank)

@@ -3,7 +3,8 @@
 All three are range joins.  Both sides are cut into bands of ``BAND`` pixels on the
 axis that must overlap, and the band is part of the join key, so the blocks of one
 image are spread over many keys and only blocks in the same band meet.  A pair that
-shares several bands is kept in the first common band only.
+shares several bands is kept in the first common band only.  What lies below a label has
+no bound; ``nearest_below`` finds the nearest of it by a sweep instead.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from labelscan.functions import vocab as V
 
 IMAGE = ["scan_id", "image_idx"]
 BAND = 256
+#: The highest level of dyadic cells, which are 2**TOP pixels wide there; wider spans take several of them.
+TOP = 12
+CELL_TYPE = "struct<kind: string, level: int, place: bigint>"
 GEOMETRY = ["x_min", "y_min", "x_max", "y_max"]
 #: relation -> axes on which label and value must overlap
 AXES = {"row": ["y"], "row_below": ["y", "x"], "near": ["y"], "right_of": ["y"]}
@@ -56,13 +60,85 @@ def _center(prefix: str, axis: str) -> Column:
     return (F.col(prefix + a) + F.col(prefix + b)) / 2.0
 
 
-def pairs(labels: DataFrame, values: DataFrame, payload: list[str], value_payload: list[str]) -> DataFrame:
+def _cell(kind: str, level, place) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), level.cast("int").alias("level"), place.cast("long").alias("place"))
+
+
+def _shift(c: Column, level: Column) -> Column:
+    """``c`` divided by 2**level, rounded down."""
+    return F.call_function("shiftright", c, level)
+
+
+def _cells_at(kind: str, x: Column) -> Column:
+    """The dyadic cells that hold a place: one on every level."""
+    return F.transform(F.sequence(F.lit(0), F.lit(TOP)), lambda k: _cell(kind, k, _shift(x.cast("long"), k)))
+
+
+def _cells_of(kind: str, low: Column, high: Column) -> Column:
+    """The fewest dyadic cells that make up ``low`` to ``high`` (two a level at most, but for the highest level).
+
+    Every place of the range lies in exactly one of them; an empty range has none.
+    """
+    low, high = low.cast("long"), high.cast("long")
+    ends = lambda k: (-_shift(-low, k), _shift(high + 1, k))
+
+    def level(k):
+        first, end = ends(k)
+        odd = lambda c: (first < end) & (F.pmod(c, F.lit(2)) == 1)
+        return F.array(F.when(odd(first), _cell(kind, k, first)), F.when(odd(end), _cell(kind, k, end - 1)))
+
+    first, end = ends(F.lit(TOP))
+    wide = F.when(first < end, F.transform(F.sequence(first, end - 1), lambda c: _cell(kind, F.lit(TOP), c)))
+    narrow = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(TOP - 1)), level))
+    return F.filter(F.concat(narrow, F.coalesce(wide, F.array().cast(f"array<{CELL_TYPE}>"))), lambda c: c.isNotNull())
+
+
+def nearest_below(labels: DataFrame, values: DataFrame) -> DataFrame:
+    """The nearest value below each label: IMAGE, field, l_block_idx, v_block_idx, gap, dcx.
+
+    ``labels`` and ``values``: IMAGE, field, block_idx and geometry in whole pixels. A value is below a label if
+    it starts at or under the label's lower edge and shares a column of pixels with it; nearest is the smallest
+    gap, then the smallest distance of the centres, then the smaller index. Labels without such a value, and
+    blocks without a box, give no row.
+
+    Two spans share a column if the value covers the label's left edge, or begins in the rest of the label's
+    span. Either is a place inside a range: the place goes to its cell on every level, the range to the few
+    dyadic cells that make it up, and they meet in exactly one. In each cell one sweep from the bottom up finds
+    the next value under each label, so the work is the number of blocks times the levels, however tall the image.
+    """
+    boxed = F.col("x_min").isNotNull()
+    place = [*IMAGE, "field", "cell"]
+    a, b = F.col("x_min"), F.col("x_max")
+    lab = labels.filter(boxed).select(
+        *IMAGE, "field", F.col("block_idx").alias("l_block_idx"), (a + b).alias("l_twice"), F.col("y_max").cast("long").alias("y"),
+        F.explode(F.concat(_cells_at("covers", a), _cells_of("begins", a + 1, b))).alias("cell"),
+    )
+    val = values.filter(boxed).select(
+        *IMAGE, "field", F.col("block_idx").alias("v_block_idx"), (a + b).alias("v_twice"), F.col("y_min").cast("long").alias("top"),
+        F.explode(F.concat(_cells_of("covers", a, b), _cells_at("begins", a))).alias("cell"),
+    )
+    tops = val.select(*place, F.col("top").alias("y"), F.col("top").alias("seen")).distinct()
+    # from the bottom up; at one height labels come first, so that they see what lies strictly under them
+    w = Window.partitionBy(*place).orderBy(F.col("y").desc(), F.col("seen").isNotNull())
+    swept = lab.withColumn("seen", F.lit(None).cast("long")).unionByName(tops, allowMissingColumns=True)
+    swept = swept.withColumn("next", F.last("seen", ignorenulls=True).over(w)).filter("l_block_idx IS NOT NULL")
+    # values at the edge itself are looked up beside the next ones: a flat block is no value of its own
+    asked = swept.select("*", F.explode(F.array("y", "next")).alias("top")).filter("top IS NOT NULL")
+    met = asked.join(val, [*place, "top"]).filter("l_block_idx <> v_block_idx")
+    best = F.min(F.struct(
+        (F.col("top") - F.col("y")).cast("double").alias("gap"), F.abs(F.col("v_twice") / 2.0 - F.col("l_twice") / 2.0).alias("dcx"), "v_block_idx"))
+    return met.groupBy(*IMAGE, "field", "l_block_idx").agg(best.alias("best")).select(*IMAGE, "field", "l_block_idx", "best.*")
+
+
+def pairs(labels: DataFrame, values: DataFrame, payload: list[str], value_payload: list[str], nearest: bool = False) -> DataFrame:
     """Pairs of a label block and a value block with their ranking key ``n1..n5``.
 
     ``labels``: IMAGE, field, rel, dist, block_idx, geometry and ``payload``.
     ``values``: IMAGE, field, block_idx, geometry and ``value_payload``.
     Relations: ``row`` (same visual row), ``row_below`` (same row, else below),
     ``near`` (vertical gap up to ``dist``), ``right_of`` (right neighbour within ``dist``).
+    With ``nearest``, of the values below a label only the nearest is paired with it; a label has one row per
+    field then, and a value too.
     """
     has_box = F.col("x_min").isNotNull()
     grow = F.when(F.col("rel") == "near", F.col("dist")).otherwise(F.lit(0))
@@ -75,12 +151,12 @@ def pairs(labels: DataFrame, values: DataFrame, payload: list[str], value_payloa
         *IMAGE, "field", F.col("rel"), F.col("dist"),
         *[F.col(c).alias("l_" + c) for c in ["block_idx", *GEOMETRY, *payload]],
         F.explode(
-            F.when(F.col("rel") == "row_below", F.concat(on("y", y(grow)), on("x", x))).otherwise(on("y", y(grow)))
+            on("y", y(grow)) if nearest else F.when(F.col("rel") == "row_below", F.concat(on("y", y(grow)), on("x", x))).otherwise(on("y", y(grow)))
         ).alias("k"),
     ).select("*", F.col("k.axis").alias("axis"), F.col("k.band").alias("band"), F.col("k.first").alias("l_first")).drop("k")
     val = values.filter(has_box).select(
         *IMAGE, "field", *[F.col(c).alias("v_" + c) for c in ["block_idx", *GEOMETRY, *value_payload]],
-        F.explode(F.concat(on("y", y(F.lit(0))), on("x", x))).alias("k"),
+        F.explode(on("y", y(F.lit(0))) if nearest else F.concat(on("y", y(F.lit(0))), on("x", x))).alias("k"),
     ).select("*", F.col("k.axis").alias("axis"), F.col("k.band").alias("band"), F.col("k.first").alias("v_first")).drop("k")
     joined = lab.join(val, [*IMAGE, "field", "axis", "band"]).filter(
         (F.col("l_block_idx") != F.col("v_block_idx")) & (F.col("band") == F.greatest("l_first", "v_first"))
@@ -109,10 +185,20 @@ def pairs(labels: DataFrame, values: DataFrame, payload: list[str], value_payloa
         .when(rel == "right_of", F.struct(F.lit(0).alias("n1"), d(h_gap).alias("n2"), d(v("y_min")).alias("n3"), F.lit(0.0).alias("n4")))
         .otherwise(F.struct(F.lit(0).alias("n1"), d(h_gap).alias("n2"), (-share).alias("n3"), dcx.alias("n4")))
     )
-    return joined.filter(F.coalesce(hit, F.lit(False))).select(
+    found = joined.filter(F.coalesce(hit, F.lit(False))).select(
         *IMAGE, "field", *[F.col("l_" + c) for c in ["block_idx", *GEOMETRY, *payload]],
         *[F.col("v_" + c) for c in ["block_idx", *value_payload]], key.alias("k"),
     ).select("*", "k.*", F.col("v_block_idx").alias("n5")).drop("k")
+    if not nearest:
+        return found
+    under = labels.filter("rel = 'row_below'")
+    # what the sweep needs not is joined to its result
+    side = lambda rows, p, more: rows.select(*IMAGE, "field", *[F.col(c).alias(p + c) for c in ["block_idx", *more]])
+    best = nearest_below(under, values).join(side(under, "l_", [*GEOMETRY, *payload]), [*IMAGE, "field", "l_block_idx"])
+    if value_payload:
+        best = best.join(side(values, "v_", value_payload), [*IMAGE, "field", "v_block_idx"])
+    rank = {"n1": F.lit(1), "n2": F.col("gap"), "n3": F.lit(0.0), "n4": F.col("dcx"), "n5": F.col("v_block_idx")}
+    return found.unionByName(best.withColumns(rank).select(*found.columns))
 
 
 def block_pairs(blocks: DataFrame, is_label: Column, rel: str, dist: int) -> DataFrame:

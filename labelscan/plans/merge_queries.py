@@ -126,11 +126,12 @@ def agg_5(spark, sf):
 
 
 @query("jn_7", """
-WITH f AS (SELECT scan_id, image_idx, field, value, mean_conf, lower(trim(value)) AS v,
-    list_filter(regexp_split_to_array(lower(trim(value)), '[\\s:,\\-/]+'), lambda x: length(x) >= 3) AS tokens FROM {image_fields_v}),
-h AS (SELECT f.scan_id, f.image_idx, f.field, max(b.confidence) AS best FROM f JOIN {ocr_blocks_v} b ON b.scan_id = f.scan_id AND b.image_idx = f.image_idx
-  WHERE f.v <> '' AND (contains(lower(b.text), f.v) OR contains(f.v, lower(b.text)) OR len(list_filter(f.tokens, lambda x: contains(lower(b.text), x))) > 0)
-  GROUP BY ALL)
+WITH f AS MATERIALIZED (SELECT scan_id, image_idx, field, mean_conf, lower(trim(value)) AS v FROM {image_fields_v}),
+b AS MATERIALIZED (SELECT scan_id, image_idx, lower(text) AS t, max(confidence) AS conf FROM {ocr_blocks_v} GROUP BY ALL),
+w AS MATERIALIZED (SELECT scan_id, image_idx, field, unnest(regexp_split_to_array(v, '[\\s:,\\-/]+')) AS token FROM f WHERE v <> ''),
+hits AS (SELECT f.scan_id, f.image_idx, f.field, b.conf FROM f JOIN b ON b.scan_id = f.scan_id AND b.image_idx = f.image_idx WHERE f.v <> '' AND (contains(b.t, f.v) OR contains(f.v, b.t))
+  UNION ALL SELECT w.scan_id, w.image_idx, w.field, b.conf FROM w JOIN b ON b.scan_id = w.scan_id AND b.image_idx = w.image_idx WHERE length(w.token) >= 3 AND contains(b.t, w.token)),
+h AS MATERIALIZED (SELECT scan_id, image_idx, field, max(conf) AS best FROM hits GROUP BY ALL)
 SELECT f.scan_id, f.image_idx, f.field, coalesce(h.best, f.mean_conf) AS field_conf FROM f LEFT JOIN h
   ON h.scan_id = f.scan_id AND h.image_idx = f.image_idx AND h.field = f.field""")
 def jn_7(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from labelscan.functions import labels as L
 from labelscan.functions import text as X
 from labelscan.functions import vocab as V
-from labelscan.functions.similarity import similarity
+from labelscan.functions.similarity import with_similarity
 from labelscan.operators import extract as EX
 from labelscan.operators import maker as MK
 from labelscan.operators import rows as RW
@@ -105,6 +105,28 @@ def sca_8(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(X.repair_contact(F.col("text")).cast("binary")).alias("h"))
 
 
+# damaged numbers and addresses of known outcome, by key class
+NUMBERS = """SELECT p_partkey, cast(p_partkey AS string) AS k, p_partkey % 8 AS c, CASE p_partkey % 8 WHEN 0 THEN concat(p_partkey, 'O', p_partkey) WHEN 1 THEN concat(p_partkey, '|', p_partkey)
+  WHEN 2 THEN concat(p_partkey, 'I') WHEN 3 THEN concat(p_partkey, 'lO', p_partkey) WHEN 4 THEN concat(p_partkey, 'l0O', p_partkey) WHEN 5 THEN concat('O', p_partkey)
+  WHEN 6 THEN concat(p_partkey, 'o', p_partkey, 'i', p_partkey) ELSE p_name END AS t, p_name FROM {part}"""
+CONTACTS = """SELECT p_partkey, concat('care', p_partkey) AS n, p_partkey % 7 AS c, CASE p_partkey % 7 WHEN 0 THEN concat('care', p_partkey, ' @ example . com')
+  WHEN 1 THEN concat('care', p_partkey, ' at example.com') WHEN 2 THEN concat('care', p_partkey, '@example com') WHEN 3 THEN concat('care', p_partkey, ' @example.org')
+  WHEN 4 THEN concat('ac care', p_partkey, '@example.in') WHEN 5 THEN concat('at home ', p_partkey) ELSE NULL END AS t FROM {part}"""
+
+
+@query("sca_7_cases", f"""SELECT p_partkey, CASE c WHEN 0 THEN k || '0' || k WHEN 1 THEN k || '1' || k WHEN 2 THEN k || 'I' WHEN 3 THEN k || 'lO' || k WHEN 4 THEN k || '100' || k
+  WHEN 5 THEN 'O' || k WHEN 6 THEN k || '0' || k || '1' || k ELSE p_name END AS fixed FROM ({NUMBERS}) n""")
+def sca_7_cases(spark, sf):
+    """Digit repair by known outcome: the checker's patterns have no look-around, so every class names its result."""
+    return sql_on(spark, sf, NUMBERS).select("p_partkey", X.repair_digits(F.col("t")).alias("fixed"))
+
+
+@query("sca_8_cases", f"""SELECT p_partkey, CASE WHEN c <= 2 THEN n || '@example.com' WHEN c = 3 THEN n || '@example.org' WHEN c = 4 THEN n || '@example.in'
+  WHEN c = 5 THEN 'at home ' || p_partkey END AS fixed FROM ({CONTACTS}) n""")
+def sca_8_cases(spark, sf):
+    return sql_on(spark, sf, CONTACTS).select("p_partkey", X.repair_contact(F.col("t")).alias("fixed"))
+
+
 TOLL = re2(V.TOLL_FREE)
 
 
@@ -212,6 +234,17 @@ def sca_19(spark, sf):
     return blocks(spark, sf).select(*KEY, EX.plausible_plain_name(X.strip(F.col("text")), F.col("confidence")).alias("plain_name"))
 
 
+PLAIN_NAMES = """SELECT p_partkey, p_partkey % 9 AS c, CASE p_partkey % 9 WHEN 0 THEN 'Crunchy Oat Cookies' WHEN 1 THEN 'Masala Noodles' WHEN 2 THEN 'Really Good Oats?' WHEN 3 THEN 'Cookies'
+  WHEN 4 THEN 'Crunchy Oat Cookies.' WHEN 5 THEN 'Acme Snacks Pvt Ltd' WHEN 6 THEN 'Crunchy Oat Cookies' WHEN 7 THEN 'one two three four five six' ELSE '12 34 ab cd 5678901' END AS t,
+  cast(CASE p_partkey % 9 WHEN 6 THEN 0.7 ELSE 0.9 END AS double) AS conf FROM {part}"""
+
+
+@query("sca_19_cases", f"SELECT p_partkey, c <= 1 AS plain_name FROM ({PLAIN_NAMES}) n")
+def sca_19_cases(spark, sf):
+    """Unlabelled names by known outcome: question, one word, full stop, company, low confidence, many words, few letters."""
+    return sql_on(spark, sf, PLAIN_NAMES).select("p_partkey", EX.plausible_plain_name(F.col("t"), F.col("conf")).alias("plain_name"))
+
+
 _any = lambda words: "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
 
 
@@ -220,19 +253,29 @@ def sca_21(spark, sf):
     return blocks(spark, sf).select(*KEY, X.role_score(F.col("text")).alias("score"))
 
 
-def _ratio_rows(spark, sf):
-    """Similarity of every product name to the name of the next smaller part."""
-    from pyspark.sql import Window
+# pairs whose longest blocks are known: equal texts, a text and its beginning or extension, no common letter, known words
+PAIRS = """SELECT p_partkey, p_name AS a, CASE p_partkey % 7 WHEN 0 THEN p_name WHEN 1 THEN concat(p_name, '#') WHEN 2 THEN substr(p_name, 1, 5) WHEN 3 THEN '0123'
+  WHEN 4 THEN '' WHEN 5 THEN concat('<<', p_name, '>>') END AS b FROM {part}
+UNION ALL SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'manufactured' WHEN 1 THEN 'wikimedia' WHEN 2 THEN '' END AS a,
+  CASE p_partkey % 4 WHEN 0 THEN 'manufacturcd' WHEN 1 THEN 'wikimania' WHEN 2 THEN '' ELSE 'x' END AS b FROM {part}"""
+RATIOS = f"""SELECT p_partkey, a, b, CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN a = b THEN 1.0 WHEN a = 'manufactured' THEN 22.0 / 24 WHEN a = 'wikimedia' THEN 14.0 / 18
+  WHEN b = '0123' OR b = '' THEN 0.0 ELSE 2.0 * least(length(a), length(b)) / (length(a) + length(b)) END::double AS ratio FROM ({PAIRS}) p"""
 
-    named = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand")
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    return named.withColumn("other", F.lag("p_name").over(w)).select(
-        "p_partkey", similarity(F.col("p_name"), F.col("other")).alias("ratio")
-    )
+
+@query("sca_22", f"SELECT p_partkey, a, b, round(ratio, 9) AS ratio FROM ({RATIOS}) r")
+def sca_22(spark, sf):
+    return with_similarity(sql_on(spark, sf, PAIRS), "a", "b").withColumn("ratio", F.round("ratio", 9))
+
+
+SIMILAR = 0.82
 
 
-query("sca_22")(_ratio_rows)
-query("udf_3")(_ratio_rows)
+@query("udf_3", f"""SELECT a, b, count(*) AS n, round(CASE WHEN ratio >= {SIMILAR} THEN ratio END, 9) AS ratio FROM ({RATIOS}) r
+WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY a, b, ratio""")
+def udf_3(spark, sf):
+    """Rows by pair, with the ratio where it reaches the least one; other pairs are settled by the bounds."""
+    counted = sql_on(spark, sf, PAIRS).filter("a IS NOT NULL AND b IS NOT NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return with_similarity(counted, "a", "b", least=SIMILAR).withColumn("ratio", F.round("ratio", 9))
 
 
 @query("udf_4", """SELECT scan_id, image_idx, count(*) AS blocks, count(DISTINCT y_min) AS rows FROM {ocr_blocks_v} GROUP BY scan_id, image_idx""")
