@@ -8,7 +8,8 @@ anew, from a place in the left chunk to a place in the right chunk, and the plac
 tokens agree exactly with both sides.
 
 Spark plan: chunk digests are counted (partial aggregation, 20 bytes a chunk), texts are dealt out once by a
-digest of the row, the tokens of shared chunks are joined by chunk digest and then by row.
+digest of the row (the owners' join and the last one read the same exchange), the tokens of shared chunks are
+joined by chunk digest and then by row.
 """
 
 from __future__ import annotations
@@ -204,7 +205,9 @@ def encode_decode(docs: DataFrame, tokenizer: str, more: tuple[str, ...] = ("ids
     spark = docs.sparkSession
     found = read_tokenizer(tokenizer)
     key, spec = found["key"], spark.sparkContext.broadcast(found)  # about 1 MB, fixed by the file
-    row = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))))
+    digest_of = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))))
+    # never null, so that both joins below ask for the texts alike and Spark deals them out once for the two
+    row = F.coalesce(digest_of, F.lit(b""))
     rows = pick(docs, doc_id="long", text="string").select(row.alias("row"), "doc_id", "text")
 
     def digests(batches):
