@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from labelscan.session import staged
 
 #: Bytes of text that one vectorised step works on (a longer document is one step of its own).
-SLICEBYTE_VALUESS = 1 << 20
+SLICE_BYTES = 1 << 20
 #: Fixes the random tables of the hashes.
 SEED = 20_240_229
 
@@ -31,6 +31,12 @@ def pick(df: DataFrame, **types: str) -> DataFrame:
     return flat.select(*out)
 
 
+def text_place(columns: list[str]) -> int:
+    """Place of the column text: the first of exactly that name, else the first that differs from it in case."""
+    exact = [i for i, c in enumerate(columns) if c == "text"]
+    return (exact or [i for i, c in enumerate(columns) if c.lower() == "text"])[0]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,7 +54,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def row_slices(offs: np.ndarray, limit: int = SLICEBYTE_VALUESS):
+def row_slices(offs: np.ndarray, limit: int = SLICE_BYTES):
     """Ranges of rows with at most ``limit`` bytes each, one row at least."""
     i, n = 0, len(offs) - 1
     while i < n:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelscan.llm.common import pick
+from labelscan.llm.common import pick, text_place
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, and between windows; characters kept on both sides of a trigger.
@@ -344,10 +344,14 @@ def find_pii(docs: DataFrame, sample: int = TRAIN_WINDOWS) -> DataFrame:
 def redact(docs: DataFrame, sample: int = TRAIN_WINDOWS) -> DataFrame:
     """``docs`` with every span of its text replaced by its kind in brackets, and n_chars counted anew, if present.
 
-    All columns stay; null texts stay null. Spans that overlap are replaced as one, under the first one's kind.
+    All columns stay, clashing names included; the text is the column of exactly that name, else one that differs
+    in case. Null texts stay null, repeated rows are redacted row by row, an empty table gives no rows. Spans that
+    overlap are replaced as one, under the first one's kind.
     """
     model = train(docs, sample)
-    at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
+    at = text_place(docs.columns)
+    # columns by position: their names may clash
+    flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
 
     def run(batches):
         for batch in batches:
@@ -364,6 +368,9 @@ def redact(docs: DataFrame, sample: int = TRAIN_WINDOWS) -> DataFrame:
                 out.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
-    changed = docs.mapInArrow(run, docs.schema)
-    return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else changed
+    changed = flat.mapInArrow(run, flat.schema)
+    if "n_chars" in docs.columns:
+        n = docs.columns.index("n_chars")
+        changed = changed.withColumn(f"c{n}", F.length(f"c{at}").cast(flat.schema[n].dataType))
+    return changed.toDF(*docs.columns)
 

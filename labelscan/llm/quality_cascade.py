@@ -13,7 +13,7 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelscan.llm.common import pick, staged
+from labelscan.llm.common import pick, staged, text_place
 
 #: Rows that costs and selectivities are measured on.
 SAMPLE_ROWS = 2000
@@ -127,13 +127,15 @@ def verdict(found: dict[str, Column], order: list[str]) -> Column:
 def quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """All columns of ``docs`` with a text, and rejected_by string (null: the document is kept).
 
-    Null and empty texts have no words and are rejected. Ties and repeated rows are judged row by row.
+    Null and empty texts have no words and are rejected. Ties and repeated rows are judged row by row; an empty
+    table gives no rows. The text is the column of exactly that name, else one that differs in case; other columns
+    pass through, clashing names included.
     """
-    name = next(c for c in docs.columns if c.lower() == "text")
-    texts = docs.select(name).toDF("text")
-    found = rules("text")
-    order = ordered_rules(texts, found, sample_rows)
-    return docs.withColumn("rejected_by", verdict(rules(name), order))
+    order = ordered_rules(pick(docs, text="string"), rules("text"), sample_rows)
+    # columns by position: their names may clash
+    flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    judged = flat.withColumn("rejected_by", verdict(rules(f"c{text_place(docs.columns)}"), order))
+    return judged.toDF(*docs.columns, "rejected_by")
 
 
 def quality_report(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
