@@ -9,7 +9,8 @@ cell of bounded size), so that a round moves every vector once for each home tha
 
 A query starts at its own node or, if it is none, at the nearest pivots; each round opens the closest unopened nodes it
 knows and meets their neighbours, until nothing nearer turns up. Nearness is computed again in double precision
-on the original vectors at the end.
+on the original vectors at the end. An exact check follows: the distance of the last one found bounds what can be
+missing, and every home that reaches into that distance is looked through for it.
 
 At most PIVOTS vectors are sampled as pivots (documented bound); everything else covers every vector.
 """
@@ -262,6 +263,15 @@ def search(graph: Graph, queries: DataFrame, k: int = 10, beam: int = BEAM) -> D
         opened = state.join(closed.withColumn("now", F.lit(True)), ["q", "node"], "left").select("q", "node", "far", (F.col("open") | F.coalesce("now", F.lit(False))).alias("open"))
         state = staged(opened.union(measured(met).withColumn("open", F.lit(False))))
     found = state.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= beam).select("q", "node")
+    best = staged(_ranked(graph, found, wanted, k))
+    far = best.groupBy(F.col("query_id").alias("q")).agg(F.max("score").alias("far"), F.count(F.lit(1)).alias("n"))
+    bound = F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(float("inf")))
+    missed = _nearer(graph, packed.join(far, "q", "left").select("q", "qx", bound.alias("bound")), k)
+    return _ranked(graph, found.union(missed).distinct(), wanted, k)
+
+
+def _ranked(graph: Graph, found: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest ids of the found nodes (q, node), measured on the original vectors."""
     # of equal vectors the k + 1 smallest ids can be wanted
     first = Window.partitionBy("node").orderBy("id")
     least = graph.members.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
@@ -272,6 +282,62 @@ def search(graph: Graph, queries: DataFrame, k: int = 10, beam: int = BEAM) -> D
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
 
 
+#: What the rounding of vectors to 32 bits can move a distance by, as a share of the lengths involved.
+ROUNDING = 1e-6
+
+
+def _ball(home: pa.Table) -> pa.Table:
+    """Centre of one home and the distance of its farthest node."""
+    x = _matrix(home.column("x")).astype(np.float64)
+    centre = x.mean(axis=0)
+    return pa.table({"home": home.column("home")[:1], "centre": pa.array([centre.tobytes()], pa.binary()), "reach": [float(np.sqrt(((x - centre) ** 2).sum(axis=1)).max())]})
+
+
+def _reached(batches):
+    """(q, qx, bound, home) of the pairs of a query and a home that can hold a node within its bound."""
+    for batch in batches:
+        q = _matrix(batch.column(1)).astype(np.float64)
+        centre = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.float64).reshape(q.shape)
+        bound, reach = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 5))
+        slack = ROUNDING * (np.sqrt((q**2).sum(axis=1)) + np.sqrt((centre**2).sum(axis=1)) + reach)
+        # what is not known to be too far is kept
+        kept = ~(np.sqrt(((q - centre) ** 2).sum(axis=1)) - reach > bound + slack)
+        yield batch.select([0, 1, 2, 3]).filter(pa.array(kept))
+
+
+def _within(k: int):
+    """One home: its nodes within the bounds of the queries that reach it, the nearest of each."""
+
+    def run(points: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, x = points.column("node").to_numpy(), _matrix(points.column("x")).astype(np.float64)
+        q, y = asked.column("q").to_numpy(), _matrix(asked.column("qx")).astype(np.float64)
+        bound = asked.column("bound").to_numpy()
+        # the query itself may be one of them, and rounding may change places
+        most, found = min(2 * (k + 1), len(ids)), []
+        for i in range(0, len(q) if most else 0, 256):
+            far = np.sqrt(_distances(y[i : i + 256], x))
+            slack = ROUNDING * (np.sqrt((y[i : i + 256] ** 2).sum(axis=1))[:, None] + np.sqrt((x**2).sum(axis=1)))
+            near = np.argpartition(far, most - 1, axis=1)[:, :most]
+            good = ~(np.take_along_axis(far - slack, near, 1) > bound[i : i + 256, None])
+            found.append((np.broadcast_to(q[i : i + 256, None], near.shape)[good], ids[near[good]]))
+        at, node = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (q[:0], ids[:0])
+        return pa.table({"q": pa.array(at, pa.int64()), "node": pa.array(node, pa.int64())})
+
+    return run
+
+
+def _nearer(graph: Graph, bounded: DataFrame, k: int) -> DataFrame:
+    """(q, node): every node that may be nearer than the bound of a query (q, qx, bound) and among its ``k`` nearest.
+
+    Queries meet the balls of the homes first; a home is one group of bounded size. How many homes are left depends on
+    the vectors: with none ruled out it is the distance of every query to every node.
+    """
+    balls = graph.nodes.groupBy("home").applyInArrow(_ball, "home long, centre binary, reach double")
+    asked = bounded.crossJoin(F.broadcast(balls)).select("q", "qx", "bound", "home", "centre", "reach")
+    asked = asked.mapInArrow(_reached, "q long, qx binary, bound double, home long")
+    return graph.nodes.groupBy("home").cogroup(asked.groupBy("home")).applyInArrow(_within(k), "q long, node long")
+
+
 def neighbours(table: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of the rows whose vec_id is divisible by ``every``.
 

@@ -28,3 +28,19 @@ def test_recall(spark, name):
     assert all(len(m) == 10 for m in mine)
     recall = sum(len(m & set(b.tolist())) for m, b in zip(mine, best, strict=True)) / best.size
     assert recall >= (1 if len(x) <= nn_descent.GROUP else 0.97), recall
+
+
+def test_exact_without_a_graph(spark):
+    """What the search misses the check finds: of a graph whose nodes have no links all nearest come back."""
+    x = np.random.default_rng(5).normal(0, 1, (1500, 64))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    nodes = points.mapInArrow(nn_descent._pack, "node long, x binary").selectExpr("node", "x", "node % 3 as home")
+    members = points.selectExpr("id as node", "id", "v")
+    edges = points.selectExpr("id as src", "id as dst", "cast(0 as float) as dist").where("false")
+    graph = nn_descent.Graph(nodes, members, edges, edges, np.arange(2), x[:2].astype(np.float32))
+    found = nn_descent.search(graph, points.where("id % 100 = 0"), 10).collect()
+    far = np.sqrt(((x[::100, None] - x[None]) ** 2).sum(axis=2))
+    far[np.arange(15), np.arange(0, 1500, 100)] = np.inf
+    best = np.argsort(far, axis=1)[:, :10]
+    mine = [[s.vec_id for s in sorted(found, key=lambda s: s.rank) if s.query_id == q] for q in range(0, 1500, 100)]
+    assert mine == best.tolist()
