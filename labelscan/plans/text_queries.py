@@ -12,6 +12,7 @@ from labelscan.operators import extract as EX
 from labelscan.operators import maker as MK
 from labelscan.operators import rows as RW
 from labelscan.operators import spatial as SP
+from labelscan.operators.texts import once_per_text
 from labelscan.plans.merge_queries import m, re2
 from labelscan.plans.registry import query
 from labelscan.plans.views import sql_on, table, view
@@ -206,12 +207,12 @@ SELECT {K}, {m('o.text', V.SECTION_BOUNDARY)} OR coalesce(k.concept IN ({BOUNDAR
   {m("trim(regexp_replace(lower(o.text), '[^a-z0-9]+', ' ', 'g'))", V.COUNTRY_LABEL_LOOSE)} AS country_label
 FROM {{ocr_blocks_v}} o LEFT JOIN k ON k.text = o.text""")
 def sca_16(spark, sf):
-    rows = blocks(spark, sf).withColumn("concept", L.exact_label(F.col("text")))
     c = F.col("concept")
-    return rows.select(
-        *KEY, L.is_section_boundary(F.col("text"), c).alias("boundary"), L.is_field_label(F.col("text"), c).alias("field_label"),
+    kinds = lambda texts: texts.withColumn("concept", L.exact_label(F.col("text"))).select(
+        "text", L.is_section_boundary(F.col("text"), c).alias("boundary"), L.is_field_label(F.col("text"), c).alias("field_label"),
         X.looks_like_country_label(F.col("text")).alias("country_label"),
     )
+    return once_per_text(blocks(spark, sf).select(*KEY, "text"), ["text"], kinds).drop("text")
 
 
 SLANT = f"SELECT {K}, text, (block_idx % 5) * 0.05 AS slope FROM {{ocr_blocks_v}}"
