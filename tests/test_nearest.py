@@ -87,3 +87,19 @@ def test_pairs_with_the_nearest_keep_the_best(spark):
         return found
 
     assert best(True) == best(False)
+
+
+@pytest.mark.parametrize("few, least, most", [(0, 1, None), (64, 0, 0)])
+def test_few_values_are_met_without_a_sweep(spark, few, least, most):
+    """Both ways find the same; an image of few blocks takes no dyadic cells."""
+    rnd = random.Random(7)
+    rows = []
+    for i in range(60):
+        x, y = rnd.randint(0, 300), rnd.randint(0, 400)
+        rows.append(("s", i // 30, "a", i, x, y, x + rnd.choice([0, 40, 200]), y + rnd.choice([0, 20])))
+    frame = spark.createDataFrame(rows, SCHEMA)
+    found = SP.nearest_below(frame, frame, few=few)
+    got = {(r.scan_id, r.image_idx, r.field, r.l_block_idx): (r.gap, r.dcx, r.v_block_idx) for r in found.collect()}
+    assert got == {r[:4]: best for r in rows if (best := _best(r, rows))}
+    sweeps = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Window")
+    assert sweeps >= least and (most is None or sweeps <= most)
