@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from labelscan.operators import extract as EX
-from labelscan.operators.texts import once_per_text
+from labelscan.operators.texts import distinct_rows, once_per_text
+from labelscan.session import tasks
 
 
 def test_once_per_text(spark):
@@ -27,3 +28,17 @@ def test_patterns_read_distinct_texts(spark):
     assert EX.own_values(tagged.select("t").distinct()).count() < 5
     own = EX.own_matches(tagged).filter("field = 'netQuantity' AND key.p = 0").groupBy("image_idx").agg(F.first("value").alias("v")).collect()
     assert sorted((r.image_idx, r.v) for r in own) == [(i, "5 g") for i in range(50)]
+
+
+def test_distinct_rows_are_dealt_to_all_cores(spark):
+    """Few texts make one small shuffle, which Spark would merge into one task."""
+    rows = spark.range(4000).select(F.concat(F.lit("t"), F.col("id") % 400).alias("t"))
+    counts = [r["count"] for r in distinct_rows(rows).groupBy(F.input_file_name().alias("f")).count().collect()]
+    assert sum(counts) == 400 and len(counts) == tasks(spark) and max(counts) <= 2 * 400 / tasks(spark)
+
+
+def test_patterns_stay_behind_distinct(spark):
+    """A filter by a pattern is no part of the plan that makes texts distinct."""
+    rows = spark.range(4000).select(F.concat(F.lit("t"), F.col("id") % 400).alias("t"))
+    plan = distinct_rows(rows).filter(F.col("t").rlike("7$"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan and "Aggregate" not in plan
