@@ -43,3 +43,19 @@ def test_values_of_a_text_are_one_row(kept):
     texts = X.tag(kept).select("t", "concept", "header_word", "country").distinct()
     rows = X.value_lists(texts, ["mrp", "importer", "fragment"])
     assert rows.count() == rows.select("t").distinct().count() and rows.filter(F.size("ss") > 1).count() > 0
+
+
+def test_lower_tiers_see_open_images_only(kept, monkeypatch):
+    """Maker lines are read where no section names a company; sections of one text are read once."""
+    from labelscan.operators import maker as MK
+
+    seen, read = [], []
+    lines, names = MK.labelled_lines, MK._names_of_sections
+    monkeypatch.setattr(MK, "labelled_lines", lambda rows: (seen.append(rows), lines(rows))[1])
+    monkeypatch.setattr(MK, "_names_of_sections", lambda rows: (read.append(rows), names(rows))[1])
+    few = kept.filter("scan_id IN ('full', 'beside')")
+    twice = staged(X.tag(few.unionByName(few.withColumn("image_idx", F.lit(1)))))
+    got = {(r.scan_id, r.image_idx): r.manufacturerName for r in MK.extract_maker(twice, twice).collect()}
+    assert got["full", 0] == got["full", 1] == "ABC Foods Pvt Ltd"
+    assert {r.scan_id for r in seen[0].select("scan_id").distinct().collect()} == {"beside"}
+    assert read[0].count() == 1
