@@ -31,6 +31,8 @@ def scan_single_images(
 
     ``images`` (scan_id, image_idx, optional full_text) names all images, those without a block too.
     """
+    # many branches read the blocks: where they come from is worked out once
+    blocks = staged(blocks)
     found = X.extract_fields(blocks, quality, calibration, images)
     texts = X.texts_of_images(X.prepare(blocks), images).select(*IMAGE, "full_text")
     px = F.struct("measured_blocks", "smallest_height_px", "median_height_px", "largest_height_px")
@@ -64,6 +66,7 @@ def scan_image_sets(
     blocks: DataFrame, quality: DataFrame | None = None, calibration: float | None = None, images: DataFrame | None = None
 ):
     """JOB-2: (scan records, conflicts) of scans with several images; ``images`` as in JOB-1."""
+    blocks = staged(blocks)
     found = staged(X.extract_fields(blocks, quality, calibration, images))
     resolved = staged(M.resolve(M.candidates(image_candidates(found, blocks, images))))
     merged = found.select("scan_id").distinct().join(M.merged_fields(resolved), "scan_id", "left")
