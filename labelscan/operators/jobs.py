@@ -34,9 +34,8 @@ def scan_single_images(
     # many branches read the blocks: where they come from is worked out once
     blocks = staged(blocks)
     found = X.extract_fields(blocks, quality, calibration, images)
-    texts = X.texts_of_images(X.prepare(blocks), images).select(*IMAGE, "full_text")
     px = F.struct("measured_blocks", "smallest_height_px", "median_height_px", "largest_height_px")
-    nested = found.join(texts, IMAGE, "left").select(
+    nested = found.select(
         F.concat_ws("/", "scan_id", F.col("image_idx").cast("string")).alias("scan_id"),
         F.struct(*SINGLE_FIELDS, "extraction_confidence", px.alias("fontHeightPxComparison")).alias("fields"),
         F.struct("quality_status").alias("quality"), "full_text",
@@ -44,15 +43,13 @@ def scan_single_images(
     return _records(D.flat_fields(nested))
 
 
-def image_candidates(found: DataFrame, blocks: DataFrame, images: DataFrame | None = None) -> DataFrame:
+def image_candidates(found: DataFrame, blocks: DataFrame) -> DataFrame:
     """Long candidates of the merge from the extraction of every image."""
-    kept = X.prepare(blocks)
-    texts = X.texts_of_images(kept, images).select(*IMAGE, "full_text")
     items = F.array(
         *[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in SINGLE_FIELDS + ["isImported"]]
     )
     means = M.mean_confidence(blocks)
-    wide = found.drop("mean_conf").join(texts, IMAGE, "left").join(means, IMAGE, "left").select(
+    wide = found.drop("mean_conf").join(means, IMAGE, "left").select(
         *IMAGE, F.concat(F.lit("img"), F.col("image_idx").cast("string"), F.lit(".jpg")).alias("file_name"),
         "full_text", F.coalesce("mean_conf", F.lit(0.0)).alias("mean_conf"), items.alias("items"),
     )
@@ -68,10 +65,10 @@ def scan_image_sets(
     """JOB-2: (scan records, conflicts) of scans with several images; ``images`` as in JOB-1."""
     blocks = staged(blocks)
     found = staged(X.extract_fields(blocks, quality, calibration, images))
-    resolved = staged(M.resolve(M.candidates(image_candidates(found, blocks, images))))
+    resolved = staged(M.resolve(M.candidates(image_candidates(found, blocks))))
     merged = found.select("scan_id").distinct().join(M.merged_fields(resolved), "scan_id", "left")
     merged = merged.withColumn("extraction_confidence", F.coalesce("extraction_confidence", F.lit("LOW")))
-    texts = X.texts_of_images(X.prepare(blocks), images).groupBy("scan_id").agg(
+    texts = found.filter("full_text IS NOT NULL").groupBy("scan_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("image_idx", "full_text"))), lambda p: p["full_text"]), " ")
         .alias("combined_full_text")
     )
